@@ -180,12 +180,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: groups linked by shingle-set similarity of `threshold` percent.
 
-    Equal sets collapse to their smallest id first, however many there are. Of the rest, each band bucket sends its
-    members to one centre that differs from band to band (a hash of bucket and id), so buckets give stars, not pairs.
-    Size and sketch discard most candidates; then full sets decide, first on each document's likeliest candidate, then on
-    the candidates that still join different groups. A link of J >= threshold is missed only if no chain of verified
-    links joins its ends: it is in a common bucket with probability over 1 - 10^-6, and its group over several bands
-    has several centres.
+    Equal sets collapse to their smallest id first, however many there are. Of the rest, each band bucket links its
+    members to three centres, so buckets give stars, not pairs: the member that shares most buckets with most others (copies with
+    the fewest edits; a copy that is similar to any is most similar to these), one drawn by that number, and one drawn evenly, all by
+    hashes that differ from bucket to bucket. Size and sketch discard most candidates; then full sets decide, first on each
+    document's likeliest candidate, then on the candidates that still join different groups. Two ends of a link share a bucket with
+    a probability over 1 - 10^-6; their groups stay apart only if no chain of verified links joins them.
 
     A text that is null, empty or without words has n_shingles 0 and is its own group. A null id takes no part: component null,
     kept. Rows that repeat an id with equal text get equal rows. An empty table gives an empty result; other columns play
@@ -197,8 +197,14 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id:
     sets = cut(some.groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "s0", "s1")).alias("r")).select("n", "hi", "lo", F.col("r.doc_id").alias("rep"), "r.s0", "r.s1"))
     reps = some.select("doc_id", "bands").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     keyed = reps.select("doc_id", F.explode("bands").alias("key")).repartition(shuffle_width(df.sparkSession), "key")
-    centre = keyed.groupBy("key").agg(F.min_by("doc_id", F.xxhash64("key", "doc_id")).alias("c"), F.count("*").alias("size")).filter("size > 1")
-    pairs = keyed.join(centre, "key").filter("doc_id != c").select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    met = cut(keyed.join(sizes, "key"))
+    liked = met.groupBy("doc_id").agg(F.sum("size").alias("liked"))
+    chance = F.shiftrightunsigned(F.xxhash64("key", "doc_id"), 32) / F.lit(float(1 << 32))
+    ranked = met.join(liked, "doc_id").select("key", "doc_id", "liked", (F.col("liked") * chance).alias("varied"), chance.alias("chance"))
+    centre = ranked.groupBy("key").agg(F.array_distinct(F.array(*[F.max_by("doc_id", F.struct(c, "doc_id")) for c in ("liked", "varied", "chance")])).alias("cs"))
+    stars = met.join(centre, "key").select("doc_id", F.explode("cs").alias("c")).filter("doc_id != c")
+    pairs = stars.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
     side = sets.select("rep", "n", "s0", "s1")
     left, right = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab")
     differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
