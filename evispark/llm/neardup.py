@@ -51,7 +51,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, powers: Powe
 def _probes(attempts: int) -> np.ndarray:
     """The bins that an empty bin asks, in order: hashes of bin and attempt, the same for all sets."""
     x = np.arange(attempts * BINS, dtype=np.uint64) + np.uint64(1)
-    return (mix(mix(x)) % np.uint64(BINS)).astype(np.int64).reshape(attempts, BINS)
+    return (mix(mix(x)) % np.uint64(BINS)).astype(np.int16).reshape(attempts, BINS)
 
 
 _FEW, _MANY = _probes(24), _probes(2000)

@@ -19,7 +19,7 @@ OPEN = 64
 #: So many tasks' leftover windows are merged by one task, in as many rounds as it takes.
 MERGE = 64
 #: A worker forgets its words beyond this number.
-WORDS = 600_000
+WORDS = 250_000
 
 PIECE = "doc_id {id}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long, home long"
 

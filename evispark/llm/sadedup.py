@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Powers, batch, cut, mix, prefix_hashes, schema, slices, text_bytes
 
 #: Text of one block, and of anchors' text that one sorting task gets on average.
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 3 << 20
 _LOW = np.uint64((1 << 40) - 1)
 _POS = np.uint64((1 << 28) - 1)
 
@@ -164,17 +164,28 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-BLOCK = "block long, ids binary, sizes binary, texts binary"
+BLOCK = "block long, ids binary, sizes binary, texts binary, extra binary"
 
 
-def _blocks(block_bytes: int):
+def _frozen(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return zstandard.ZstdCompressor(level=1).compress(out.getvalue().to_pybytes())
+
+
+def _thawed(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
+
+def _blocks(block_bytes: int, carry: list[str]):
     def run(batches):
         block = TaskContext.get().partitionId() << 32
-        ids, known, sizes, texts, held = [], [], [], [], 0
+        ids, known, sizes, texts, extra, held = [], [], [], [], [], 0
 
         def full():
             body = zstandard.ZstdCompressor(level=1).compress(np.concatenate([*texts, np.empty(0, np.uint8)]).tobytes())
-            return batch({"block": [block], "ids": [_pack(ids=np.array(ids, np.int64), known=np.array(known, bool))], "sizes": [_pack(sizes=np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64))], "texts": [body]})
+            return batch({"block": [block], "ids": [_pack(ids=np.array(ids, np.int64), known=np.array(known, bool))], "sizes": [_pack(sizes=np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64))], "texts": [body], "extra": [_frozen(pa.Table.from_batches(extra)) if carry else b""]})
 
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
@@ -184,10 +195,12 @@ def _blocks(block_bytes: int):
                     known.append(i is not None)
                 sizes.append(np.diff(offsets[at : to + 1]))
                 texts.append(data[offsets[at] : offsets[to]])
+                if carry:
+                    extra.append(b.select(carry).slice(at, to - at))
                 held += int(offsets[to] - offsets[at])
                 if held >= block_bytes:
                     yield full()
-                    block, ids, known, sizes, texts, held = block + 1, [], [], [], [], 0
+                    block, ids, known, sizes, texts, extra, held = block + 1, [], [], [], [], [], 0
         if ids:
             yield full()
 
@@ -345,11 +358,12 @@ def _repeats(length: int):
     return run
 
 
-def _kept(with_text: bool):
+def _kept(with_text: bool, carry: list[str]):
     """Of one block: each document's bytes outside all runs."""
 
     def run(key, blocks, runs):
-        block = _Block(blocks.to_pylist()[0])
+        row = blocks.to_pylist()[0]
+        block = _Block(row)
         edge = np.zeros(len(block.data) + 1, np.int32)
         for r in runs.column("packed").to_pylist():
             begin, size = (x.astype(np.int64) for x in _unpack(r))
@@ -372,7 +386,8 @@ def _kept(with_text: bool):
                 texts.append(whole.decode("utf-8"))
         diff = lambda x: x[block.offsets[1:]] - x[block.offsets[:-1]]
         columns = {"doc_id": pa.array(block.ids, pa.int64(), mask=~block.known), "n_bytes": np.diff(block.offsets), "n_removed": diff(removed).astype(np.int64), "n_spans": diff(spans).astype(np.int64), "kept_sha256": digests}
-        return pa.table(columns | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+        more = _thawed(row["extra"]) if carry else None
+        return pa.table(columns | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}) | {c: more.column(c) for c in carry})
 
     return run
 
@@ -384,8 +399,8 @@ def _whole_characters(part: np.ndarray, kept: np.ndarray) -> bytes:
     return part[np.repeat(whole, np.diff(np.append(lead, len(part))))].tobytes()
 
 
-def remove_repeats(df: DataFrame, length: int = 50, with_text: bool = False, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text]) of every row: without each byte covered by a `length`-byte
+def remove_repeats(df: DataFrame, length: int = 50, with_text: bool = False, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text][, carried columns]) of every row: without each byte covered by a `length`-byte
     string (8 at least) that also starts in a row with a smaller id.
 
     1. Each string has an anchor, the gram in it with the smallest hash. Blocks of text send their anchors' fingerprints
@@ -399,21 +414,25 @@ def remove_repeats(df: DataFrame, length: int = 50, with_text: bool = False, doc
     distinct text per block, with its places.
 
     A null or empty text has nothing removed (the sha256 of no bytes). Strings repeated only in one row, or in rows of the same
-    id, stay. A row whose id is null keeps all and takes no part. An empty table gives an empty result; other columns
-    play no part. `kept_text` also loses the rest of a character that a cut has split.
+    id, stay. A row whose id is null keeps all and takes no part. An empty table gives an empty result; columns named by
+    `carry` come along, others play no part. `kept_text` also loses the rest of a character that a cut has split.
     """
     if length < 8:
         raise ValueError("length must be 8 or more")
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = cut(rows.mapInArrow(_blocks(block_bytes), schema(BLOCK)))
+    carry = list(carry)
+    if clash := {*carry} & {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}:
+        raise ValueError(f"carried columns {sorted(clash)} clash with the result's")
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
+    blocks = cut(rows.mapInArrow(_blocks(block_bytes, carry), schema(BLOCK)))
     zipped = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
-    buckets = max(24, int(3 * zipped // bucket_bytes) + 1)
+    buckets = max(64, int(3 * zipped // bucket_bytes) + 1)
     prints = blocks.mapInArrow(_fingerprints(length, buckets), schema("bucket long, block long, hashes binary, many binary"))
     shared = prints.groupBy("bucket").applyInArrow(_shared, schema("block long, bucket long, hashes binary"))
     contexts = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_contexts(length, buckets), schema("bucket long, block long, packed binary"))
     runs = contexts.groupBy("bucket").applyInArrow(_repeats(length), schema("block long, packed binary"))
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_kept(with_text), schema(out))
+    out = schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)
+    out = type(out)([*out.fields, *[rows.schema[c] for c in carry]])
+    return blocks.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(_kept(with_text, carry), out)
 
 
 def op9_two_stage_suffix_dedup(spark, sf_dir: str) -> DataFrame:
