@@ -35,12 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages out of texts that an earlier document has. A text of which nothing is left goes."""
-    kept = sadedup.remove_repeats(docs, PASSAGE_BYTES, with_text=True)
-    changed = kept.filter("n_removed > 0").select(F.col("doc_id").alias("__id"), "kept_text")
-    out = docs.join(changed, docs["doc_id"] == F.col("__id"), "left")
-    text = F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text"))
-    out = out.filter(F.col("kept_text").isNull() | (F.trim("kept_text") != ""))
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    kept = sadedup.remove_repeats(docs, PASSAGE_BYTES, with_text=True, carry=("lang", "source", "n_chars"))
+    changed = F.col("n_removed") > 0
+    size = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.filter(~changed | F.col("kept_text").rlike(r"\S")).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
