@@ -62,7 +62,9 @@ def license_scan(df: DataFrame, path: str = "path", text: str = "text", licence_
     scored = dots.join(norms, "name").join(header_norms, "header").select("header", "name", cosine.alias("score")).filter(F.col("score") >= least)
     best = scored.groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("less"), "name")).alias("b")).select("header", F.col("b.name").alias("__own"), (-F.col("b.less")).alias("__score"))
 
-    owned = files.join(best, files["__header"] == best["header"], "left").drop("header")
+    # files without a header match nothing; keys of their own keep them from meeting in one task
+    meet = F.coalesce(F.col("__header"), F.concat(F.lit("\0"), F.pmod(F.xxhash64(path), F.lit(4096)).cast("string")))
+    owned = files.withColumn("__meet", meet).join(best, F.col("__meet") == best["header"], "left").drop("header", "__meet")
     givers = owned.filter(F.col("__file") & F.col("__own").isNotNull() & F.col(path).isNotNull())
     givers = givers.groupBy(F.col("__dir").alias("giver_dir")).agg(F.min(F.struct((-F.col("__score")).alias("less"), F.col("__own").alias("own"), F.col(path).alias("by"))).alias("g"))
     dirs = files.filter(F.col("__dir").isNotNull()).select("__dir").distinct()
