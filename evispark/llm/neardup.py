@@ -166,7 +166,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        e = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        e = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))  # as many as before; the round's end drops repeats
         least = e.groupBy("v").agg(F.min("u").alias("m"))
         small = e.join(least, "v")
         e = cut(small.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).filter("u < v").distinct())
@@ -222,7 +222,7 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id:
     at = lambda x: root.select(F.col("id").alias(f"id_{x}"), F.col("root").alias(f"root_{x}"))
     apart = cand.join(best, ["a", "b"], "left_anti").join(at("a"), F.col("a") == F.col("id_a"), "left").join(at("b"), F.col("b") == F.col("id_b"), "left")
     apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    root = components(true.unionAll(links(cut(apart), payload, width, threshold)))
+    root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(links(cut(apart), payload, width, threshold)))
 
     groups = sets.join(root, F.col("rep") == F.col("id"), "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("component_id"))
     out = feats.select("doc_id", "n", "hi", "lo").join(groups, ["n", "hi", "lo"], "left")
