@@ -64,3 +64,48 @@ def sha256(text: Column) -> Column:
 def hash_share(key: Column) -> Column:
     """The first 52 bits of the key's sha256 as a number in [0, 1): samples by it are stable."""
     return F.conv(F.substring(F.sha2(key.cast("string").cast("binary"), 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+_WORD, _SPACE = r"[^ \t\n\f\r]+", " \t\n\f\r"
+
+
+def words(text: Column) -> Column:
+    """Runs of characters that are no ASCII white space; a null text has none."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_WORD), F.lit(0))
+
+
+def trim_budget(text: Column, most: int) -> Column:
+    """At most `most` words: a longer text keeps three fewer and a mark; up to three words have no room for it."""
+    w = words(text)
+    cut = F.array_join(F.slice(w, 1, most), " ") if most <= 3 else F.concat(F.array_join(F.slice(w, 1, most - 3), " "), F.lit(" ... [truncated]"))
+    return F.when(F.size(w) <= most, F.btrim(text, F.lit(_SPACE))).otherwise(cut)
+
+
+def without_front_matter(text: Column) -> Column:
+    """The trimmed text after a leading block between `---` marks; an unclosed block is ordinary text."""
+    bare = F.btrim(text, F.lit(_SPACE))
+    return F.btrim(F.regexp_replace(bare, r"\A---(?s:.*?)\n---", ""), F.lit(_SPACE))
+
+
+def looks_like_base64(text: Column) -> Column:
+    """800 characters or more of the alphabet, over 20 of them different."""
+    kinds = F.size(F.array_distinct(F.split(F.regexp_replace(text, "[\r\n]", ""), "")))
+    return (F.length(text) >= 800) & text.rlike(r"\A[A-Za-z0-9+/=\r\n]*\z") & (kinds > 20)
+
+
+def looks_like_json(text: Column) -> Column:
+    """Over 3000 characters that open as JSON and nest four times or name a key."""
+    bare = F.regexp_replace(text, r"\A[- \t]+", "")
+    return (F.length(bare) > 3000) & bare.rlike(r"\A[{\[]") & ((F.regexp_count(bare, F.lit(r"[{\[]")) >= 4) | bare.contains('":'))
+
+
+def passage(text: Column, heading: Column, most: int = 6000) -> Column:
+    """What is embedded: the heading, an empty line and the text's first `most` characters."""
+    body, head = F.substring(F.btrim(text, F.lit(_SPACE)), 1, most), F.btrim(F.coalesce(heading, F.lit("")), F.lit(_SPACE))
+    return F.when(head == "", body).otherwise(F.concat(head, F.lit("\n\n"), body))
+
+
+def entity_name(name: Column) -> Column:
+    """Lower-cased letters, digits, apostrophes and ampersands with single spaces between; null is empty."""
+    straight = F.regexp_replace(F.coalesce(name.cast("string"), F.lit("")), "[‘’]", "'")
+    return F.lower(F.trim(F.regexp_replace(straight, "[^0-9A-Za-z'&]+", " ")))

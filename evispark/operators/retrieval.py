@@ -86,3 +86,23 @@ def verdict(ranked: DataFrame) -> DataFrame:
     signal = ranked.agg(F.coalesce(F.sum(F.when(F.col("rank") <= 3, F.col("score"))), F.lit(0.0)).alias("signal"), F.count("*").alias("results"))
     kind = F.when((F.col("results") >= 3) & (F.col("signal") >= 30), "found").when(F.col("results") > 0, "partial").otherwise("no_strong_match")
     return signal.select(kind.alias("verdict"), F.round(F.least(F.lit(1.0), F.col("signal") / 40), 6).alias("confidence"), "results")
+
+
+def recency(age_days: Column) -> Column:
+    """2 for something new, half of it at 30 days; under 0.05 nothing. Ages in the future count as 0, unknown ones give nothing."""
+    boost = 2.0 * 30.0 / (30.0 + F.greatest(F.lit(0), age_days))
+    return F.when(age_days.isNull() | (boost < 0.05), F.lit(0.0)).otherwise(F.round(boost, 4))
+
+
+def fact_scores(facts: DataFrame, terms: list[str], specific: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, matches, specific, score) of facts (key, text, confidence) that reach 12: BM25 up to 12, 4 a term, 3 a specific term and
+    twice the confidence above a half. Facts with too few specific terms drop out."""
+    hits = lambda ts: sum((X.contains_term(F.col(text), t).cast("int") for t in ts), F.lit(0))
+    found = facts.select(key, "confidence", hits(terms).alias("matches"), hits(specific).alias("specific"))
+    enough = (F.col("matches") > 0) & (F.col("specific") >= X.required_hits(len(specific)))
+    if specific:
+        enough &= (F.col("specific") > 0) | (F.col("matches") >= 2)
+    joined = found.filter(enough).join(bm25(facts, terms, key, text), key, "left")
+    lexical = F.least(F.lit(12.0), F.greatest(F.lit(0.0), F.coalesce("bm25", F.lit(0.0))))
+    sure = F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.0)) - 0.5)
+    return joined.select(key, "matches", "specific", (lexical + 4 * F.col("matches") + 3 * F.col("specific") + 2 * sure).alias("score")).filter("score >= 12")

@@ -305,18 +305,37 @@ def entity_exact(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(names, "c_nationkey").select("c_custkey", "entity", F.lit("exact").alias("method"))
 
 
+def _inner_words(k):
+    return lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))
+
+
+def _characters(k):
+    return lambda i: F.xxhash64(F.substr(F.col("text"), i, F.lit(k)))
+
+
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_contamination(spark, sf_dir):
-    """Documents that hold a benchmark passage: both meet at the passage's first eight words, then the whole passage is looked for."""
+    """Documents that hold a benchmark passage: both meet at the passage's first inner words, six if it has as many, and then the whole
+    passage is looked for. A passage's first and last word can be part of a longer word of a document, so they choose nothing; of passages
+    without inner words the first characters are looked for. Empty passages are in no document."""
     words = lambda c: F.split(c, "[ \n\t]+")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    width = F.least(F.size(words(F.col("passage"))) - 1, F.lit(8))
-    keys = items.withColumn("key", F.xxhash64(F.array_join(F.slice(words(F.col("passage")), 2, F.greatest(F.least(width - 1, F.lit(6)), F.lit(1))), " ")))
+    items = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("passage"))
+    width = F.least(F.size(words(F.col("passage"))) - 2, F.lit(6))
+    head = F.when(width > 0, F.array_join(F.slice(words(F.col("passage")), 2, F.greatest(width, F.lit(1))), " ")).otherwise(F.substring("passage", 1, 12))
+    kind = F.when(width > 0, width).otherwise(-F.length(head)).alias("kind")  # words, or minus characters
+    keys = items.select("item_id", kind, F.xxhash64(head).alias("key"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= 6)
-    grams = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 6), " ")))).alias("key"))
-    met = grams.join(keys.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    return met.join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
+    w = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
+    met = None
+    for (k,) in keys.select("kind").distinct().collect():  # at most 18 numbers
+        at = F.sequence(F.lit(1), (F.size("w") if k > 0 else F.length("text")) - (abs(k) - 1))
+        hashes = F.transform(at, _inner_words(k) if k > 0 else _characters(-k))
+        grams = w.filter((F.size("w") if k > 0 else F.length("text")) >= abs(k)).select("doc_id", F.explode(F.array_distinct(hashes)).alias("key"))
+        found = grams.join(keys.filter(F.col("kind") == k).select("key", "item_id"), "key").select("doc_id", "item_id")
+        met = found if met is None else met.unionAll(found)
+    if met is None:
+        return docs.join(items, F.lit(False)).select("doc_id", "item_id")
+    return met.distinct().join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", "passage")).select("doc_id", "item_id")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -1,8 +1,8 @@
 """All queries of the library by name, and the SQL that checks them."""
 
-from . import analytic, relational
+from . import analytic, curation, relational
 
-QUERIES: dict = analytic.QUERIES | relational.QUERIES
+QUERIES: dict = analytic.QUERIES | curation.QUERIES | relational.QUERIES
 
 #: Sums of integers, which the checking engine widens to 128 bits.
 _SUMS = {
@@ -16,4 +16,4 @@ def _narrow(name: str, sql: str) -> str:
     return f"SELECT * REPLACE ({casts}) FROM ({sql}) t" if casts else sql
 
 
-ORACLES: dict = {name: _narrow(name, sql) for name, sql in (analytic.ORACLES | relational.ORACLES).items()}
+ORACLES: dict = {name: _narrow(name, sql) for name, sql in (analytic.ORACLES | curation.ORACLES | relational.ORACLES).items()}

@@ -27,7 +27,7 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v.isoformat()[:19] if hasattr(v, "isoformat") else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_agrees_with_sql(spark, sql, name):
     df = registry.QUERIES[name](spark, DIR)
     r = sql.sql(registry.ORACLES[name])
@@ -68,3 +68,12 @@ def test_valid_time_by_kind(spark):
 def test_query_terms():
     assert X.query_terms("What is the PLAN for plan_b of x") == ["plan", "plan_b"]
     assert [X.required_hits(n) for n in (0, 1, 3, 4)] == [0, 1, 1, 2]
+
+
+def test_benchmark_passages_of_any_length(spark, tmp_path):
+    docs = [(1, "xalpha beta gammay"), (2, "some long passage with over six words inside it here"), (3, "tiny"), (4, ""), (5, "alpha beta  gamma"), (6, None)]
+    items = [(1, "alpha beta gamma"), (2, "me long passage with over six words inside it he"), (3, "in"), (4, "x"), (5, "no such"), (6, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in registry.QUERIES["benchmark_contamination"](spark, str(tmp_path)).collect()}
+    assert got == {(d, i) for d, t in docs for i, p in items if t and p and p in t}
