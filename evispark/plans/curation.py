@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import facts as S
 from ..functions import text as X
-from ..operators import chunks, curation, retrieval
+from ..operators import chunks, curation, ingest, retrieval
 from .analytic import _BM25, TERMS, table
 
 QUERIES: dict = {}
@@ -153,6 +154,50 @@ def passage_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.passage(F.col("text"), F.col("source")).cast("binary")).alias("passage"))
 
 
+_STEM = "CASE WHEN suffix(x, 'ss') THEN x WHEN length(x) > 5 AND suffix(x, 'ies') THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 6 AND suffix(x, 'ing') THEN left(x, length(x) - 3) WHEN length(x) > 5 AND suffix(x, 'ed') THEN left(x, length(x) - 2) WHEN length(x) > 4 AND suffix(x, 's') THEN left(x, length(x) - 1) ELSE x END"
+
+
+@query(f"""WITH s AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: {_STEM})) AS w FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b, len(list_intersect(a.w, b.w)) AS n FROM s a JOIN s b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, round(CASE WHEN least(len(a), len(b)) > 0 THEN n / least(len(a), len(b)) ELSE 0.0 END, 6) AS overlap, round(CASE WHEN len(a) + len(b) > n THEN n / (len(a) + len(b) - n) ELSE 0.0 END, 6) AS jaccard FROM p""")
+def statement_similarity(spark, sf_dir):
+    """Stem overlap of each turn with the one after it."""
+    s = table(spark, sf_dir, "conversations").select("conv_id", "turn", S.stems(F.col("text")).alias("a"))
+    both = s.join(s.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.round(S.overlap(F.col("a"), F.col("b")), 6).alias("overlap"), F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 3 <> 2 AND o_orderkey % 3 <> o_custkey % 3 AND o_custkey % 3 <> 2 AS contrast FROM orders")
+def contrast_cues(spark, sf_dir):
+    """Whether two statements that say the old, the newest or neither differ in it."""
+    said = lambda c: F.when(F.col(c) % 3 == 0, "the old plan").when(F.col(c) % 3 == 1, "The NEWEST plan").otherwise("a plan before us")
+    words = lambda c: F.regexp_extract_all(F.lower(said(c)), F.lit("[a-z]+"), F.lit(0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.contrast(words("o_orderkey"), words("o_custkey")).alias("contrast"))
+
+
+@query("""SELECT o_orderkey, kind, id FROM (SELECT o_orderkey, 'memory' AS kind, 'mem_' || o_custkey AS id FROM orders UNION SELECT o_orderkey, 'document', 'doc_' || o_orderkey FROM orders UNION SELECT o_orderkey, 'wiki_page', 'people/' || o_orderstatus || '.md' FROM orders)""")
+def stable_references(spark, sf_dir):
+    """Ids that a sentence on each order cites, one of them twice."""
+    o = table(spark, sf_dir, "orders")
+    said = F.concat(F.lit("see mem_"), "o_custkey", F.lit(", document:doc_"), "o_orderkey", F.lit(" (doc_"), "o_orderkey", F.lit("), people/"), "o_orderstatus", F.lit(".md; xmem_1"))
+    return o.select("o_orderkey", F.inline(S.references(said)))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 11 = 0 AND doc_id % 5 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM documents WHERE NOT (doc_id % 11 = 0 AND doc_id % 5 = 0)""")
+def source_rescan(spark, sf_dir):
+    """A second scan in which some sources are gone, some new and some edited."""
+    docs, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    known = docs.filter(k % 5 != 0).select("doc_id", X.sha256(F.col("text")).alias("content_hash"))
+    found = docs.filter(k % 11 != 0).select("doc_id", F.when(k % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return ingest.rescan(known, found, "doc_id")
+
+
+@query("""SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS units FROM (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE length(text) % 3 <> 0)) GROUP BY conv_id, island""")
+def evidence_spans(spark, sf_dir):
+    """Cited turns of a conversation, joined where they follow each other."""
+    return ingest.merged_spans(table(spark, sf_dir, "conversations").filter(F.length("text") % 3 != 0).select("conv_id", F.col("turn").alias("unit")), "conv_id")
+
+
 @query()
 def heading_chunks(spark, sf_dir):
     return chunks.chunks(table(spark, sf_dir, "documents"), headings=True)

@@ -70,3 +70,11 @@ def test_last_writes_keep_what_nulls_leave(spark):
     state = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, page string, status string")
     log = spark.createDataFrame([(1, 1, "c", None), (1, 2, None, "z"), (1, 3, "d", None), (9, 4, "e", "e")], "id int, seq int, page string, status string")
     assert sorted(map(tuple, curation.last_writes(state, log, "id", "seq", ["page", "status"]).collect())) == [(1, "d", "z"), (2, "b", "y")]
+
+
+def test_stems_and_overlaps(spark):
+    from evispark.functions import facts as S
+
+    row = spark.sql("SELECT 'Policies pass, planning planned plans as the class' a, 'plan class' b, CAST(NULL AS STRING) c").select(
+        S.stems(F.col("a")).alias("s"), S.overlap(S.stems(F.col("a")), S.stems(F.col("b"))).alias("o"), S.jaccard(S.stems(F.col("c")), S.stems(F.col("c"))).alias("j"), S.references(F.col("c")).alias("r")).first()
+    assert row.s == ["policy", "pass", "plann", "plan", "as", "the", "class"] and row.o == 1.0 and row.j == 0.0
