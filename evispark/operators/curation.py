@@ -123,3 +123,19 @@ def names_within(names: DataFrame, name: str = "name") -> DataFrame:
     rarest = words.join(often, "word").groupBy("n").agg(F.min(F.struct("often", "word")).alias("m"), F.first("w").alias("w")).select(F.col("n").alias("part"), F.col("w").alias("pw"), F.col("m.word").alias("word"))
     both = rarest.join(words.select("word", F.col("n").alias("whole"), F.col("w").alias("ww")), "word")
     return both.filter((F.size("pw") < F.size("ww")) & (F.size(F.array_except("pw", "ww")) == 0)).select("part", "whole")
+
+
+def similar_sets(sets: DataFrame, words: str, threshold: int) -> DataFrame:
+    """(a, b, jaccard): pairs a < b of distinct sets of words (sorted arrays) with 100 * intersection >= threshold * union. Two such sets share
+    one of the first n - ceil(threshold * n / 100) + 1 of their n words, rarest first, so they meet under these only; all words count."""
+    s = sets.select(F.col(words).alias("w"))
+    often = s.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("often"))
+    ranked = s.select("w", F.explode("w").alias("word")).join(often, "word").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("r"))
+    n = F.size("w")
+    first = F.slice("r", 1, n - F.ceil(n * threshold / 100).cast("int") + 1)
+    met = ranked.select("w", F.explode(first["word"]).alias("word"))
+    both = met.select("word", F.col("w").alias("a")).join(met.select("word", F.col("w").alias("b")), "word").filter("a < b")
+    fit = F.least(F.size("a"), F.size("b")) * 100 >= F.greatest(F.size("a"), F.size("b")) * threshold
+    shared = both.filter(fit).select("a", "b").distinct().withColumn("shared", F.size(F.array_intersect("a", "b")))
+    union = F.size("a") + F.size("b") - F.col("shared")
+    return shared.filter(100 * F.col("shared") >= threshold * union).select("a", "b", (F.col("shared") / union).alias("jaccard"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import operational, policy, retrieval, temporal
+from ..operators import curation, operational, policy, retrieval, temporal
 from ..streaming import reconcile as streams
 
 QUERIES: dict = {}
@@ -288,15 +288,16 @@ def hash_sample(spark, sf_dir):
 c AS (SELECT a.p_partkey AS x, b.p_partkey AS y, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.p_partkey < b.p_partkey WHERE a.w IN (SELECT w FROM t GROUP BY w HAVING count(*) <= 50) GROUP BY 1, 2)
 SELECT x, y, round(shared / (a.n + b.n - shared), 6) AS jaccard FROM c JOIN n a ON a.p_partkey = x JOIN n b ON b.p_partkey = y WHERE 2 * shared >= a.n + b.n - shared""")
 def token_jaccard_pairs(spark, sf_dir):
-    """Parts whose names share half of their words, met by words of up to 50 names: a common word alone makes no pair."""
-    t = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("w"))
-    n = t.groupBy("p_partkey").agg(F.count("*").alias("n"))
-    rare = t.groupBy("w").count().filter("count <= 50").select("w")
-    r = t.join(rare, "w")
-    pairs = r.select("w", F.col("p_partkey").alias("x")).join(r.select("w", F.col("p_partkey").alias("y")), "w").filter("x < y").groupBy("x", "y").agg(F.count("*").alias("shared"))
-    both = pairs.join(n.select(F.col("p_partkey").alias("x"), F.col("n").alias("nx")), "x").join(n.select(F.col("p_partkey").alias("y"), F.col("n").alias("ny")), "y")
-    union = F.col("nx") + F.col("ny") - F.col("shared")
-    return both.filter(2 * F.col("shared") >= union).select("x", "y", F.round(F.col("shared") / union, 6).alias("jaccard"))
+    """All parts whose names share half of their words, however common the words. Pairs are looked for between distinct sets of words;
+    the parts of a set are put in at the end, so only the result grows with the square of how many share a name."""
+    names = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
+    parts = table(spark, sf_dir, "part").filter("p_name is not null").select("p_partkey", names.alias("w"))
+    sets = parts.select("w").distinct()
+    pairs = curation.similar_sets(sets, "w", 50).select("a", "b", "jaccard")
+    same = sets.select(F.col("w").alias("a"), F.col("w").alias("b"), F.lit(1.0).alias("jaccard"))
+    side = lambda c, key: parts.select(F.col("w").alias(c), F.col("p_partkey").alias(key))
+    both = pairs.unionAll(same).join(side("a", "p"), "a").join(side("b", "q"), "b").filter((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
+    return both.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("SELECT c.c_custkey, n.n_name AS entity, 'exact' AS method FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey")

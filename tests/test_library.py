@@ -77,3 +77,12 @@ def test_benchmark_passages_of_any_length(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {tuple(r) for r in registry.QUERIES["benchmark_contamination"](spark, str(tmp_path)).collect()}
     assert got == {(d, i) for d, t in docs for i, p in items if t and p and p in t}
+
+
+def test_common_words_pair_parts(spark, tmp_path):
+    names = ["red box"] * 60 + ["Box red box", "red", "red tin can", "red tin pot lid", "", "", None, "box tin red can"]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    sets = {k: set(n.lower().split(" ")) for k, n in enumerate(names) if n is not None}
+    share = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    want = sorted((x, y, round(share(x, y), 6)) for x in sets for y in sets if x < y and share(x, y) >= 0.5)
+    assert sorted(map(tuple, registry.QUERIES["token_jaccard_pairs"](spark, str(tmp_path)).collect())) == want
