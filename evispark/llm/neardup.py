@@ -17,6 +17,10 @@ SKETCH = 128
 SKETCH_MOST, SKETCH_LEAST_SET = 38, 128
 #: Spokes of one star that are verified in one run.
 STAR = 256
+#: Members of a bucket that are compared in one task, as shingles, each member counting MEMBER more.
+BLOCK, MEMBER = 1 << 19, 512
+#: Shingles that more members of a block share are counted by matrix products, the others pair by pair.
+OFTEN, COLUMNS = 32, 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, powers: Powers) -> list[np.ndarray]:
@@ -155,6 +159,82 @@ def links(edges: DataFrame, payload: DataFrame, width: int, threshold: int) -> D
     return dealt.mapInArrow(_verify(width, threshold), schema("a long, b long"))
 
 
+def _overlaps(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """How many elements the sets at `some` share with each other set, exactly: a row for each of `some`."""
+    m, row = len(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = np.full(m, -1)
+    at[some] = np.arange(len(some))
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    rare = (count[column] > 1) & (count[column] <= OFTEN)
+    r, c, met = row[rare], column[rare], []
+    for k in range(1, OFTEN):
+        same = np.flatnonzero(c[:-k] == c[k:])
+        if not len(same):
+            break
+        for x, y in ((r[same], r[same + k]), (r[same + k], r[same])):
+            met.append((at[x] * m + y)[at[x] >= 0])
+    out = np.bincount(np.concatenate([*met, np.empty(0, np.int64)]), minlength=len(some) * m).reshape(len(some), m)
+    often = count[column] > OFTEN
+    r, c = row[often], np.cumsum(np.diff(column[often], prepend=-1) > 0) - 1
+    for lo in range(0, int(c[-1]) + 1 if len(c) else 0, COLUMNS):
+        i, j = np.searchsorted(c, [lo, lo + COLUMNS])
+        held = np.zeros((m, COLUMNS), np.float32)
+        held[r[i:j], c[i:j] - lo] = 1
+        out += (held[some] @ held.T).astype(np.int64)
+    return out
+
+
+def _block_links(width: int, threshold: int):
+    """Of the members of one block, a link for each two groups that have any; full sets are compared, each with each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        powers, unzip = Powers(), zstandard.ZstdDecompressor()
+        ids, (_, root) = table.column("doc_id").to_numpy(), np.unique(table.column("root").to_numpy(), return_inverse=True)
+        some = np.flatnonzero(root != np.bincount(root).argmax())
+        a = b = np.empty(0, np.int64)
+        if len(some):
+            texts = [unzip.decompress(z.as_py()) for z in table.column("packed")]
+            data, offsets, sets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), []
+            for i, j in slices(offsets):
+                sets += shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, powers)
+            n, shared = np.array([len(s) for s in sets]), _overlaps(sets, some)
+            x, y = np.nonzero((100 * shared >= threshold * (n[some][:, None] + n - shared)) & (root[some][:, None] != root))
+            x = some[x]
+            groups = np.minimum(root[x], root[y]) * len(ids) + np.maximum(root[x], root[y])
+            one = np.unique(groups, return_index=True)[1]
+            a, b = ids[x[one]], ids[y[one]]
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def links_inside(met: DataFrame, root: DataFrame, feats: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (a, b) between different groups of `root` (id, root): all pairs that share a bucket of `met` (key, doc_id, size) are compared.
+
+    A bucket's members outside its largest group are cut into blocks, and so are the members in it; the first meet each other and the
+    second, block by block, so members of one group alone never meet and a task has two blocks, however large a bucket is.
+    Buckets of two have been compared before.
+    """
+    n = feats.select("doc_id", "n", "packed").dropDuplicates(["doc_id"])
+    rooted = met.filter("size > 2").select("key", "doc_id").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = rooted.join(n.select("doc_id", (F.col("n") + MEMBER).alias("weight")), "doc_id")
+    groups = rooted.groupBy("key", "root").agg(F.sum("weight").alias("weight"))
+    main = groups.groupBy("key").agg(F.max_by("root", F.struct("weight", "root")).alias("main"), F.max("weight").alias("inside"), F.sum("weight").alias("all"), F.count("*").alias("groups"))
+    parts = lambda c: F.ceil(c / BLOCK).cast("int")
+    main = main.filter("groups > 1").select("key", "main", parts(F.col("all") - F.col("inside")).alias("p"), parts(F.col("inside")).alias("q"))
+    own, most = F.xxhash64("doc_id", "key"), F.col("root") == F.col("main")
+    block = F.pmod(own, F.when(most, F.col("q")).otherwise(F.col("p"))).cast("int")
+    wide = F.col("p") + F.col("q")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    outer = F.transform(upto(wide), lambda k: F.when(k < F.col("p"), F.least(k, F.col("block")) * wide + F.greatest(k, F.col("block"))).otherwise(F.col("block") * wide + k))
+    inner = F.transform(upto(F.col("p")), lambda k: k * wide + F.col("p") + F.col("block"))
+    dealt = rooted.join(main, "key").withColumn("block", block).select("key", "doc_id", "root", F.explode(F.when(most, inner).otherwise(outer)).alias("cell"))
+    cells = dealt.join(n.select("doc_id", "packed"), "doc_id")
+    return cells.groupBy("key", "cell").applyInArrow(_block_links(width, threshold), schema("a long, b long"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id that each id of `edges` (a, b) can reach, by large-star and small-star steps.
 
@@ -184,8 +264,9 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id:
     members to three centres, so buckets give stars, not pairs: the member that shares most buckets with most others (copies with
     the fewest edits; a copy that is similar to any is most similar to these), one drawn by that number, and one drawn evenly, all by
     hashes that differ from bucket to bucket. Size and sketch discard most candidates; then full sets decide, first on each
-    document's likeliest candidate, then on the candidates that still join different groups. Two ends of a link share a bucket with
-    a probability over 1 - 10^-6; their groups stay apart only if no chain of verified links joins them.
+    document's likeliest candidate, then on the candidates that still join different groups and on all members of a bucket that are
+    in different groups, centres or not. Two ends of a link share a bucket with a probability over 1 - 10^-6, and
+    then their groups are one.
 
     A text that is null, empty or without words has n_shingles 0 and is its own group. A null id takes no part: component null,
     kept. Rows that repeat an id with equal text get equal rows. An empty table gives an empty result; other columns play
@@ -222,7 +303,8 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id:
     at = lambda x: root.select(F.col("id").alias(f"id_{x}"), F.col("root").alias(f"root_{x}"))
     apart = cand.join(best, ["a", "b"], "left_anti").join(at("a"), F.col("a") == F.col("id_a"), "left").join(at("b"), F.col("b") == F.col("id_b"), "left")
     apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(links(cut(apart), payload, width, threshold)))
+    more = links(cut(apart), payload, width, threshold).unionAll(links_inside(met, root, feats, width, threshold))
+    root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(more))
 
     groups = sets.join(root, F.col("rep") == F.col("id"), "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("component_id"))
     out = feats.select("doc_id", "n", "hi", "lo").join(groups, ["n", "hi", "lo"], "left")

@@ -93,6 +93,22 @@ def test_near_duplicates(docs, none, width, least):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_links_inside_a_family_just_under_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 1 << 17)  # several blocks a bucket
+    base = " ".join(f"t{i}" for i in range(185))  # 183 of 200 shingles: 0.843; with the next two words 185: 0.860
+    family = [(k, f"{base} p{k // 2} q{k // 2} " + " ".join(f"u{k}x{i}" for i in range(15))) for k in range(1200)]
+    got = neardup.near_duplicates(spark.createDataFrame(family, "doc_id long, text string").repartition(4), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k - k % 2 for k in range(1200)}
+
+
+def test_overlaps_of_rare_and_common_elements():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(0, 60, 40), rng.integers(100, 3000, n)])).astype(np.uint64) for n in rng.integers(0, 300, 120)]
+    some = np.array([3, 50, 119])
+    got = neardup._overlaps(sets, some)
+    assert all(got[i, j] == len(np.intersect1d(sets[s], t)) for i, s in enumerate(some) for j, t in enumerate(sets) if j != s)
+
+
 def test_components_follow_long_chains(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100)]
     got = dict(neardup.components(spark.createDataFrame(chain, "a long, b long")).collect())
