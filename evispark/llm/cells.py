@@ -11,11 +11,12 @@ from .common import batch, cut, schema, shuffle_width
 
 #: Rows (those with the smallest hashes) that the tree's splits are fitted on.
 SAMPLE = 20_000
-#: The tree has at most so many cells, whatever the table's size: what the driver and each task know of it is bounded.
-MOST_CELLS = 256
-CELL_ROWS = 4096
-#: A cell with more rows is dealt to runs of about this size.
-RUN_ROWS = 8192
+#: The tree has a cell for each CELL_ROWS rows, and MOST_CELLS at most: what the driver and each task know of it is bounded.
+MOST_CELLS, CELL_ROWS = 2048, 4096
+#: A cell with more numbers is dealt to runs of about this size; a task holds one run.
+RUN_NUMBERS = 1 << 22
+#: So many queries meet a run in one task; more are dealt to several tasks, each with a copy of the run.
+QUERY_ROWS = 1 << 18
 
 
 def usable(df: DataFrame, vec_id: str, vector: str, allow_zero: bool) -> DataFrame:
@@ -91,97 +92,105 @@ def fit(rows: DataFrame, features, n: int) -> Splits:
     return Splits(features(np.array([r[0] for r in got])), cells)
 
 
-def deal(rows: DataFrame, splits: Splits, features) -> tuple[DataFrame, dict[int, int]]:
-    """(cell, run, vec_id, v) of all rows, and the number of runs of each cell (at most MOST_CELLS counts)."""
+def deal(rows: DataFrame, splits: Splits, features, d: int) -> tuple[DataFrame, np.ndarray]:
+    """(cell, run, vec_id, v) of all rows, computed once, and the number of runs of each cell (at most MOST_CELLS counts)."""
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(splits.assign(features(matrix(b.column("v"))))), *b.columns], names=["cell", "vec_id", "v"])
 
-    placed = rows.mapInArrow(run, schema("cell long, vec_id long, v array<double>"))
-    runs = {c: -(-n // RUN_ROWS) for c, n in placed.groupBy("cell").count().collect()}
-    many = F.element_at(F.create_map(*[F.lit(x) for kv in runs.items() for x in kv]), F.col("cell")) if runs else F.lit(1)
+    placed = cut(rows.mapInArrow(run, schema("cell long, vec_id long, v array<double>")))
+    runs = np.zeros(len(splits.low), np.int64)
+    for c, n in placed.groupBy("cell").count().collect():
+        runs[c] = -(-n // max(1, RUN_NUMBERS // d))
+    many = F.element_at(F.from_json(F.lit(str(runs.tolist())), "array<long>"), (F.col("cell") + 1).cast("int"))
     return placed.withColumn("run", F.pmod(F.xxhash64("vec_id", F.lit("run")), many)), runs
 
 
-def stream(data: DataFrame, visits: DataFrame, search, k: int) -> DataFrame:
-    """(query_id, vec_id, score) found by `search(state, ids, vectors, limits)` for visits (cell, run, query_id, v, bound).
+def stream(data: DataFrame, visits: DataFrame, search, k: int, blocks: int) -> DataFrame:
+    """(q, vec_id, score, exact) found by `search(state, ids, own ids, vectors, limits)` for visits (cell, run, q, query_id, v, bound).
 
     Data and visits of a run are sorted next to each other, data first: a task holds the data of one run and one batch of
-    visits. `search.prepare(ids, vectors)` makes the state of a run.
+    visits, which stream by. Queries are dealt to `blocks` blocks, so that a run that many ask is many tasks'.
     """
+    exact = search.exact
 
     def run(batches):
         key, ids, rows, state = None, [], [], None
         for b in batches:
-            table = pa.Table.from_batches([b])
-            place = b.column("cell").to_numpy() * (1 << 24) + b.column("run").to_numpy()
+            place = b.column("cell").to_numpy() * (1 << 40) + b.column("run").to_numpy() * (1 << 16) + b.column("block").to_numpy()
+            q = b.column("q").to_numpy(zero_copy_only=False)
             visit = b.column("is_visit").to_numpy(zero_copy_only=False).astype(bool)
-            v = matrix(b.column("v"))
-            edges = np.flatnonzero(np.diff(place * 2 + visit)) + 1
+            v, own, bound = matrix(b.column("v")), b.column("id").to_numpy(), b.column("bound").to_numpy()
+            edges = np.flatnonzero((np.diff(place) != 0) | (np.diff(visit.astype(np.int8)) != 0)) + 1
             found = []
             for at, to in zip([0, *edges], [*edges, len(b)]):
                 if not visit[at]:
                     if key != place[at]:
                         key, ids, rows = place[at], [], []
-                    ids.append(b.column("id").to_numpy()[at:to])
+                    ids.append(own[at:to])
                     rows.append(v[at:to])
                     state = None
                 elif key == place[at]:
                     if state is None:
                         state = search.prepare(np.concatenate(ids), np.concatenate(rows))
-                        ids, rows = [np.empty(0, np.int64)], [np.empty((0, v.shape[1]))]
-                    found.append(search(state, b.column("id").to_numpy()[at:to], v[at:to], b.column("bound").to_numpy()[at:to], k))
-            q, i, s = (np.concatenate([f[j] for f in found]) if found else np.empty(0) for j in range(3))
-            yield batch({"query_id": q.astype(np.int64), "vec_id": i.astype(np.int64), "score": s.astype(np.float64)})
-            del table
-
-    side = lambda df, id_, bound, is_visit: df.select("cell", "run", F.lit(is_visit).alias("is_visit"), F.col(id_).alias("id"), "v", bound.alias("bound"))
-    both = side(data, "vec_id", F.lit(0.0), False).unionAll(side(visits, "query_id", F.col("bound"), True))
-    dealt = both.repartition(shuffle_width(data.sparkSession), "cell", "run").sortWithinPartitions("cell", "run", "is_visit")
-    return dealt.mapInArrow(run, schema("query_id long, vec_id long, score double"))
-
-
-def best(found: DataFrame, k: int, largest: bool) -> DataFrame:
-    """The k best of each query, with `rank` from 1; ties to smaller ids. Each run gave k at most, so groups are small."""
-    order = F.desc("score") if largest else F.asc("score")
-    w = Window.partitionBy("query_id").orderBy(order, "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def two_rounds(rows: DataFrame, queries: DataFrame, features, splits: Splits, search, k: int, largest: bool, reach) -> DataFrame:
-    """Round 1 sends each query to one run of its own cell, whose k-th score bounds what it still looks for; round 2 to all
-    runs of the cells that `reach(vectors, bounds, data)` says can hold better ones."""
-    data, runs = deal(rows, splits, features)
-    data = cut(data)
-    far = -np.inf if largest else np.inf
-    known = np.array(sorted(runs), np.int64)
-    counts = np.array([runs[c] for c in known], np.int64)
+                        ids, rows = [], []
+                    found.append(search(state, q[at:to], own[at:to], v[at:to], bound[at:to], k))
+            columns = [np.concatenate([f[j] for f in found]) if found else np.empty(0) for j in range(3)]
+            out = {"q": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2].astype(np.float64)}
+            if exact:
+                out["exact"] = pa.array([x for f in found for x in f[3]], pa.int64() if exact == "long" else pa.binary())
+            yield batch(out)
+
+    none = F.lit(None).cast("long")
+    rows = data.select("cell", "run", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("is_visit"), none.alias("q"), F.col("vec_id").alias("id"), "v", F.lit(0.0).alias("bound"))
+    asks = visits.select("cell", "run", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("is_visit"), "q", F.col("query_id").alias("id"), "v", "bound")
+    dealt = rows.unionAll(asks).repartition(shuffle_width(data.sparkSession), "cell", "run", "block").sortWithinPartitions("cell", "run", "block", "is_visit")
+    return dealt.mapInArrow(run, schema("q long, vec_id long, score double" + f", exact {exact}" * bool(exact)))
+
+
+def best(found: DataFrame, k: int, search) -> DataFrame:
+    """The k best of each query row, with `rank` from 1; ties to smaller ids. Each run gave k at most, so groups are small."""
+    by = "exact" if search.exact else "score"
+    w = Window.partitionBy("q").orderBy(F.desc(by) if search.largest else F.asc(by), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def two_rounds(rows: DataFrame, queries: DataFrame, features, splits: Splits, search, k: int, d: int, reach) -> DataFrame:
+    """(query_id, rank, vec_id, score[, exact]). Queries (vec_id, v) are searched row by row. Round 1 sends each to one run of its own
+    cell, whose k-th score bounds what it still looks for; round 2 to all runs of the cells that `reach(data)` says can hold better ones."""
+    data, counts = deal(rows, splits, features, d)
+    known = np.flatnonzero(counts)
+    counts = counts[known]
+    far = -np.inf if search.largest else np.inf
+    queries = cut(queries.withColumnRenamed("vec_id", "query_id").withColumn("q", F.monotonically_increasing_id()))
+    blocks = max(1, -(-queries.count() // QUERY_ROWS))
 
     def home(batches):
         for b in batches:
             v = matrix(b.column("v"))
             if not len(v):
                 continue
-            away = splits.distance2(features(v))[:, known] if len(known) else np.zeros((len(v), 0))
-            nearest = away.argmin(1)
-            ids = b.column("query_id").to_numpy()
-            yield batch({"cell": known[nearest], "run": ids % counts[nearest], "query_id": ids, "v": b.column("v"), "bound": np.full(len(v), far)})
-
-    visit = schema("cell long, run long, query_id long, v array<double>, bound double")
-    first = best(stream(data, queries.mapInArrow(home, visit), search, k), k, largest)
-    bound = first.groupBy("query_id").agg(F.count("*").alias("n"), (F.min("score") if largest else F.max("score")).alias("s")).filter(F.col("n") == k).select("query_id", "s")
-    bounded = cut(queries.join(bound, "query_id", "left").select("query_id", "v", F.coalesce("s", F.lit(float(far))).alias("bound")))
+            nearest = splits.distance2(features(v))[:, known].argmin(1)
+            q = b.column("q").to_numpy()
+            yield batch({"cell": known[nearest], "run": q % counts[nearest], "q": q, "query_id": b.column("query_id"), "v": b.column("v"), "bound": np.full(len(v), far)})
+
+    visit = schema("cell long, run long, q long, query_id long, v array<double>, bound double")
+    first = best(stream(data, queries.mapInArrow(home, visit), search, k, blocks), k, search)
+    bound = first.groupBy("q").agg(F.count("*").alias("n"), (F.min("score") if search.largest else F.max("score")).alias("s")).filter(F.col("n") == k).select("q", "s")
+    bounded = cut(queries.join(bound, "q", "left").select("q", "query_id", "v", F.coalesce("s", F.lit(float(far))).alias("bound")))
     test = reach(data)
 
     def rest(batches):
         for b in batches:
             v, limit = matrix(b.column("v")), b.column("bound").to_numpy()
             for at in range(0, len(v), 64):
-                ok = test(v[at : at + 64], limit[at : at + 64])[:, known]
-                q, c = np.nonzero(ok)
-                q, c = np.repeat(q, counts[c]), np.repeat(c, counts[c])
-                run_ = np.arange(len(c)) - np.maximum.accumulate(np.where(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(c) != 0)]) if len(c) else np.empty(0, bool), np.arange(len(c)), 0))
-                yield batch({"cell": known[c], "run": run_, "query_id": b.column("query_id").to_numpy()[at + q], "v": b.column("v").take(pa.array(at + q)), "bound": limit[at + q]})
-
-    return best(stream(data, bounded.mapInArrow(rest, visit), search, k), k, largest)
+                row, c = np.nonzero(test(v[at : at + 64], limit[at : at + 64])[:, known])
+                n = counts[c]
+                first_run = np.repeat(np.cumsum(n) - n, n)
+                row, c = np.repeat(row, n) + at, np.repeat(c, n)
+                take = pa.array(row)
+                yield batch({"cell": known[c], "run": np.arange(len(c)) - first_run, "q": b.column("q").take(take), "query_id": b.column("query_id").take(take), "v": b.column("v").take(take), "bound": limit[row]})
+
+    out = best(stream(data, bounded.mapInArrow(rest, visit), search, k, blocks), k, search)
+    return out.join(bounded.select("q", "query_id"), "q").withColumn("rank", F.col("rank").cast("int")).drop("q")

@@ -10,7 +10,7 @@ from . import cells
 from .common import cut
 
 #: Numbers of segments, coarse to fine.
-LEVELS = (4, 8, 16)
+LEVELS = (4, 8, 16, 32)
 
 
 def segments(v: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -25,37 +25,85 @@ def segments(v: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return mean * np.sqrt(length), dev
 
 
-def slack(x: np.ndarray) -> np.ndarray:
-    """Room for rounding in bounds; scores themselves are sums of integers."""
-    return x + 1e-9 * np.abs(x) + 0.25
+def slack(upper: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A bound with room for rounding, which grows with the product of the vectors' lengths; scores themselves are exact."""
+    return upper + 1e-12 * sizes + 0.25
+
+
+def lengths(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v**2).sum(1))
 
 
 class BoundSearch:
-    """Of one run: rows whose upper bound is under the k-th score so far are left out, at finer and finer levels."""
+    """Of one run: rows whose upper bound is under the k-th score so far are left out, at finer and finer levels.
 
-    def prepare(self, ids, v):
-        return ids, v, [segments(v, p) for p in LEVELS]
+    Survivors' scores are sums of integers: in double precision where `most` (the largest component) keeps them under 2^53, in 64
+    bits under 2^63, and beyond in Python's integers, which travel as binary numbers of `width` bytes that sort like them.
+    """
 
-    def __call__(self, state, query_ids, q, bounds, k):
-        ids, v, levels = state
-        asked = [segments(q, p) for p in LEVELS]
+    largest = True
+
+    def __init__(self, most: float, d: int):
+        reach = int(most) ** 2 * max(1, d)
+        self.kind = "double" if reach < 2**53 else "long" if reach < 2**63 else "any"
+        self.exact, self.width = ("binary", reach.bit_length() // 8 + 2) if self.kind == "any" else ("long", 0)
+
+    def prepare(self, ids, v):
+        return ids, v, [segments(v, p) for p in LEVELS], lengths(v)
+
+    def products(self, v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, list]:
+        """(as double, exactly)"""
+        if self.kind == "double":
+            score = v @ q
+            return score, score.astype(np.int64)
+        if self.kind == "long":
+            whole = (v.astype(np.int64) * q.astype(np.int64)).sum(1)
+            return whole.astype(np.float64), whole
+        ints = [int(x) for x in q]
+        out = [sum(a * int(b) for a, b in zip(ints, row)) for row in v.tolist()]
+        near = [float(x) if abs(x) < 1 << 1023 else float("inf") * (1 if x > 0 else -1) for x in out]
+        return np.array(near), np.array(out, object)
+
+    def __call__(self, state, q_rows, query_ids, q, bounds, k):
+        ids, v, levels, size = state
+        asked, own = [segments(q, p) for p in LEVELS], lengths(q)
         top = asked[0][0] @ levels[0][0].T + asked[0][1] @ levels[0][1].T
-        out = ([], [], [])
+        out = ([], [], [], [])
         for i in range(len(q)):
-            upper = slack(top[i])
+            room = own[i] * size
+            upper = slack(top[i], room)
             first = np.argpartition(-upper, min(4 * k, len(ids) - 1))[: 4 * k]  # the most promising raise the limit
             first = first[ids[first] != query_ids[i]]
-            score = v[first] @ q[i]
+            score = self.products(v[first], q[i])[0]
             limit = max(bounds[i], np.sort(score)[-k]) if len(score) >= k else bounds[i]
-            rows = np.flatnonzero((upper >= limit) & (ids != query_ids[i]))
+            rows = np.flatnonzero(~(upper < limit) & (ids != query_ids[i]))
             for (mean, dev), (qm, qs) in zip(levels[1:], asked[1:]):
-                rows = rows[slack(mean[rows] @ qm[i] + dev[rows] @ qs[i]) >= limit]
-            score = v[rows] @ q[i]
-            keep = np.lexsort((ids[rows], -score))[:k]
-            out[0].append(np.full(len(keep), query_ids[i]))
+                rows = rows[~(slack(mean[rows] @ qm[i] + dev[rows] @ qs[i], room[rows]) < limit)]
+            score, exact = self.products(v[rows], q[i])
+            keep = self._first(ids[rows], exact, k)
+            out[0].append(np.full(len(keep), q_rows[i]))
             out[1].append(ids[rows][keep])
             out[2].append(score[keep])
-        return tuple(np.concatenate([*x, np.empty(0)]) for x in out)
+            out[3].extend(exact[keep].tolist() if self.kind != "any" else [(x + (1 << 8 * self.width - 1)).to_bytes(self.width, "big") for x in exact[keep]])
+        return (*(np.concatenate([*x, np.empty(0)]) for x in out[:3]), out[3])
+
+    def _first(self, ids, exact, k):
+        if self.kind == "any":
+            return np.array(sorted(range(len(ids)), key=lambda j: (-exact[j], ids[j]))[:k], np.int64)
+        return np.lexsort((ids, -exact))[:k]
+
+    def numbers(self, found: DataFrame) -> DataFrame:
+        """`exact` as `score`, a long; a product beyond 64 bits becomes the largest or smallest long, at the rank it has."""
+        if self.kind != "any":
+            return found.select("query_id", "rank", "vec_id", F.col("exact").alias("score"))
+        zero, edge = 1 << 8 * self.width - 1, 2**63
+
+        def run(batches):
+            for b in batches:
+                score = [min(max(int.from_bytes(x, "big") - zero, -edge), edge - 1) for x in b.column("exact").to_pylist()]
+                yield cells.batch({**{c: b.column(c) for c in ("query_id", "rank", "vec_id")}, "score": cells.pa.array(score, cells.pa.int64())})
+
+        return found.select("query_id", "rank", "vec_id", "exact").mapInArrow(run, cells.schema("query_id long, rank int, vec_id long, score long"))
 
 
 def _reach(splits, features):
@@ -67,26 +115,24 @@ def _reach(splits, features):
         width = segments(np.zeros((1, d)), LEVELS[0])[0].shape[1]
 
         def shape(batches):
-            import pyarrow as pa
-
             for b in batches:
-                mean, dev = segments(cells.matrix(b.column("v")), LEVELS[0])
-                both = np.concatenate([mean, dev], 1)
-                at = np.arange(len(both) + 1, dtype=np.int32) * (2 * width)
-                yield pa.RecordBatch.from_arrays([b.column("cell"), pa.ListArray.from_arrays(at, both.ravel())], names=["cell", "s"])
-
-        from .common import schema
+                v = cells.matrix(b.column("v"))
+                both = np.concatenate([*segments(v, LEVELS[0]), lengths(v)[:, None]], 1)
+                at = np.arange(len(both) + 1, dtype=np.int32) * (2 * width + 1)
+                yield cells.pa.RecordBatch.from_arrays([b.column("cell"), cells.pa.ListArray.from_arrays(at, both.ravel())], names=["cell", "s"])
 
-        s = data.select("cell", "v").mapInArrow(shape, schema("cell long, s array<double>"))
-        sides = [F.min(F.col("s")[j]).alias(f"l{j}") for j in range(width)] + [F.max(F.col("s")[j]).alias(f"h{j}") for j in range(2 * width)]
+        s = data.select("cell", "v").mapInArrow(shape, cells.schema("cell long, s array<double>"))
+        sides = [F.min(F.col("s")[j]).alias(f"l{j}") for j in range(width)] + [F.max(F.col("s")[j]).alias(f"h{j}") for j in range(2 * width + 1)]
         low, high, dev = (np.zeros((len(splits.low), width)) for _ in range(3))
+        size = np.zeros(len(splits.low))
         for r in s.groupBy("cell").agg(*sides).collect():
             low[r["cell"]], high[r["cell"]], dev[r["cell"]] = [r[f"l{j}"] for j in range(width)], [r[f"h{j}"] for j in range(width)], [r[f"h{j}"] for j in range(width, 2 * width)]
+            size[r["cell"]] = r[f"h{2 * width}"]
 
         def test(v, bound):
             qm, qs = segments(v, LEVELS[0])
             upper = np.maximum(qm, 0) @ high.T + np.minimum(qm, 0) @ low.T + qs @ dev.T
-            return slack(upper) >= bound[:, None]
+            return ~(slack(upper, lengths(v)[:, None] * size) < bound[:, None])
 
         return test
 
@@ -97,28 +143,32 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int
     """(query_id, rank, vec_id, score): for each row of `queries` the k rows of `vectors` with the highest inner product of
     floor(scale * x) vectors, exactly; all but the row of the query's own id are candidates, ties go to smaller ids.
 
-    Rows are dealt to at most 256 kd-cells over coarse segment means (fitted on a sample of 20,000 rows; any splits give the
-    same result). A query gets a limit from one run of its cell, goes to the runs of all cells whose bound reaches it, and there
-    only survivors of all levels are scored. Sums of integers stay exact in double precision up to 2^53; larger
-    components or more dimensions are refused.
+    Rows are dealt to kd-cells over coarse segment means (one for 4096 rows, 2048 at most, fitted on a sample of 20,000 rows; any
+    splits give the same result). A query gets a limit from one run of its cell, goes to the runs of all cells whose bound reaches it, and
+    there only survivors of all levels are scored, in integers however large they are. A score beyond 64 bits is given as the
+    largest or smallest long, at its true rank.
 
-    Null and non-finite vectors, those of a rarer length and rows without id take no part (zero vectors do); a table without
-    usable vectors gives no rows; identical rows count once.
+    Null and non-finite vectors, those of a rarer length, rows without id and vectors that `scale` makes infinite take no part (zero
+    vectors do); a table without usable vectors gives no rows. Each row of `queries` gets a list of its own, so an id that two
+    different query rows have appears with two lists; equal query rows are one. Each row of `vectors` is a candidate, also one that
+    repeats another. Other columns play no part.
     """
-    whole = F.transform("v", lambda x: F.floor(x * scale).cast("double"))
-    rows = cut(cells.usable(vectors, vec_id, vector, allow_zero=True).select("vec_id", whole.alias("v")))
-    asked = cells.usable(queries, vec_id, vector, allow_zero=True).select("vec_id", whole.alias("v"))
+
+    def whole(df: DataFrame) -> DataFrame:
+        floor = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+        out = cells.usable(df, vec_id, vector, allow_zero=True).select("vec_id", F.transform("v", lambda x: floor(x * scale)).alias("v"))
+        return out.filter(~F.exists("v", lambda x: F.abs(x) == F.lit(float("inf"))))
+
+    rows, asked = cut(whole(vectors)), whole(queries).distinct()
     d, n = cells.common_length(rows), rows.count()
     rows, asked = rows.filter(F.size("v") == d), asked.filter(F.size("v") == d)
     if not n:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    most = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()[0]
-    if most * most * d >= 2**53:
-        raise ValueError("components are too large for exact sums")
+    largest = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))
+    most = max(x.agg(largest).first()[0] or 0.0 for x in (rows, asked))
     features = lambda v: segments(v, LEVELS[0])[0]
-    splits = cells.fit(rows, features, n)
-    out = cells.two_rounds(rows, asked.withColumnRenamed("vec_id", "query_id"), features, splits, BoundSearch(), k, True, _reach(splits, features))
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+    splits, search = cells.fit(rows, features, n), BoundSearch(most, d)
+    return search.numbers(cells.two_rounds(rows, asked, features, splits, search, k, d, _reach(splits, features)))
 
 
 def op3_segment_bound_products(spark, sf_dir: str) -> DataFrame:
