@@ -6,12 +6,14 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text that numpy looks at in one go; temporaries are about 60 times as large.
 SLICE_BYTES = 1 << 20
+#: Tasks that share a range of equal values.
+SALTS = 64
 
 _ODD = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_ODD, -1, 1 << 64)
@@ -121,23 +123,31 @@ def batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
 
-def rank_in(df: DataFrame, group: list[str], order: Column, out: str, rows_per_part: int = 50_000) -> DataFrame:
-    """Adds `out`: the gapless position from 0 of each row in its group, by the long `order`, whose values spread evenly.
+def rank_in(df: DataFrame, group: list[str], order: Column, out: str, rows_per_part: int = 50_000, bits: int = 64) -> DataFrame:
+    """Adds `out`: the gapless position from 0 of each row in its group, by `order`, a long whose `bits` lower bits spread evenly.
 
     A group's rows are cut into ranges of `order`; a window numbers the rows of one range, and the ranges' counts
-    give what to add. So no task sorts more than about `rows_per_part` rows however large a group is. Rows of equal
-    order are numbered by all their columns; only identical rows can change places.
+    give what to add. Where equal values make a range large, it is cut further by the rows' places in `df`, which is computed once
+    for this. So no task sorts more than about `rows_per_part` rows, however large a group is or however many rows are equal. Rows of
+    equal order in one part are numbered by all their columns.
     """
-    n = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    keyed = cut(df.withColumns({"__order": order, "__row": F.monotonically_increasing_id()}))
+    n = keyed.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     parts = max(1, -(-n // rows_per_part))
-    part = F.floor((F.shiftrightunsigned(order, 32) * F.lit(parts)) / F.lit(float(1 << 32))).cast("long")
-    keyed = df.withColumns({"__order": order, "__part": part})
-    from pyspark.sql import Window
-
-    counts = keyed.groupBy(*group, "__part").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    keyed = keyed.withColumn("__part", F.floor((F.shiftrightunsigned("__order", bits - 32) * F.lit(parts)) / F.lit(float(1 << 32))).cast("long"))
+    ranges = keyed.groupBy(*group, "__part").agg(F.ceil(F.count("*") / F.lit(2.0 * rows_per_part)).cast("long").alias("__cuts"))
+    large = ranges.filter("__cuts > 1")
+    if n > 2 * rows_per_part and large.limit(1).count():
+        # a large range is split between tasks before it meets its number of cuts
+        pieces = large.select(*group, "__part", "__cuts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+        keyed = keyed.withColumn("__salt", F.pmod(F.xxhash64("__row", F.lit("salt")), F.lit(SALTS)).cast("int")).join(pieces, [*group, "__part", "__salt"], "left")
+        keyed = keyed.withColumn("__cut", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("__cuts")), F.lit(0))).drop("__salt", "__cuts")
+    else:
+        keyed = keyed.withColumn("__cut", F.lit(0).cast("long"))
+    counts = keyed.groupBy(*group, "__part", "__cut").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*group).orderBy("__part", "__cut").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "__part", "__cut", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    inside = Window.partitionBy(*group, "__part").orderBy("__order", *plain)
+    inside = Window.partitionBy(*group, "__part", "__cut").orderBy("__order", *plain)
     numbered = keyed.withColumn("__at", F.row_number().over(inside) - 1)
-    return numbered.join(counts, [*group, "__part"]).withColumn(out, (F.col("__before") + F.col("__at")).cast("long")).drop("__order", "__part", "__before", "__at")
+    return numbered.join(counts, [*group, "__part", "__cut"]).withColumn(out, (F.col("__before") + F.col("__at")).cast("long")).drop("__order", "__row", "__part", "__cut", "__before", "__at")
