@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +27,22 @@ PIECE = "doc_id {id}, start long, length long, ids binary, ids_crc32 long, doc_t
 
 
 class WordCoder(dict):
-    """Token ids of whole texts, as little-endian uint32 bytes, from the vocabulary file's merge ranks.
+    """Token ids of whole texts, as little-endian uint32 bytes, from the vocabulary file's merge ranks. `special` strings become
+    their ids wherever they stand; the text between them is encoded by itself.
 
     The pattern that cuts texts before merging lets a token begin, never go on, at a space before another character;
     so a text without double spaces is the sequence of its space-led words, and each word is merged once.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.coder = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = {x: np.array([i], "<u4").tobytes() for x, i in (special or {}).items()}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
 
     def __missing__(self, word: str) -> bytes:
         self[word] = out = self.whole(" " + word)
@@ -46,6 +52,11 @@ class WordCoder(dict):
         return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.special):
+            return b"".join(self.special.get(part) or self.plain(part) for part in self.cut.split(text))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if "  " in text or text[-1:] == " ":
             return self.whole(text)
         if len(self) > WORDS:
@@ -92,10 +103,16 @@ class Packer:
 class _Rows:
     """Collects pieces and turns them into record batches."""
 
-    def __init__(self, id_type: pa.DataType, keep_ids: bool, home: int):
-        self.id_type, self.keep_ids, self.home, self.rows, self.next = id_type, keep_ids, home, [], home << 40
+    def __init__(self, id_type: pa.DataType, keep_ids: bool, level: int, home: int):
+        if level >= 1 << 3 or home >= 1 << 30:
+            raise OverflowError("sequence ids have room for 2^30 tasks")
+        self.id_type, self.keep_ids, self.home, self.rows = id_type, keep_ids, home, []
+        self.next = (level << 60) + (home << 30)
+        self.end = self.next + (1 << 30)
 
     def window(self, pieces: list, final: bool = True) -> None:
+        if self.next == self.end:
+            raise OverflowError("a task has 2^30 windows; use more tasks")
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
@@ -111,10 +128,10 @@ class _Rows:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0, open_windows: int = OPEN, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 0, open_windows: int = OPEN, keep_ids: bool = True, doc_id: str = "doc_id", text: str = "text", special: dict[str, int] | None = None) -> DataFrame:
     """Pieces of documents in windows of at most `window` tokens: (doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset).
 
-    `tokenizer` names a merge-rank file; a document is its ids and `end_id`. Each task packs what it reads into windows of
+    `tokenizer` names a merge-rank file; a document is its ids and `end_id`; strings of `special` in a text become the ids given there. Each task packs what it reads into windows of
     which `open_windows` are open at a time; those still open at its end are merged, 64 tasks' at a time, until one task's
     are left. Pieces are cut only to fill a window, so only the last few windows have room. `ids` (little-endian uint32) is
     null without `keep_ids`. A null or empty text is its end id alone; a very long one fills windows of its own; rows
@@ -129,9 +146,9 @@ def pack_documents(df: DataFrame, tokenizer: str, window: int = WINDOW, end_id:
 
     def first(batches):
         task = TaskContext.get().partitionId()
-        coder, packer, out = WordCoder(tokenizer, pattern), Packer(window, open_windows), None
+        coder, packer, out = WordCoder(tokenizer, pattern, special), Packer(window, open_windows), None
         for b in batches:
-            out = out or _Rows(b.schema.field("doc_id").type, keep_ids, task)
+            out = out or _Rows(b.schema.field("doc_id").type, keep_ids, 0, task)
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 ids = coder.encode(t.as_py() or "") + end
                 for done in packer.add(doc, 0, ids, len(ids) // 4):
@@ -167,11 +184,13 @@ def _merge(window: int, most: int, keep_ids: bool, level: int, last: bool):
 
     def run(key, table):
         home = key[0].as_py()
-        out = _Rows(table.schema.field("doc_id").type, keep_ids, (level << 20) + home)
-        out.home = home
+        out = _Rows(table.schema.field("doc_id").type, keep_ids, level, home)
         packer = Packer(window, 1 if last else most)
         t = table.select(["sequence_id", "offset", "doc_id", "start", "ids", "doc_tokens"]).to_pylist()
-        t.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+        fill = Counter()
+        for r in t:
+            fill[r["sequence_id"]] += len(r["ids"])
+        t.sort(key=lambda r: (-fill[r["sequence_id"]], r["sequence_id"], r["offset"]))
         for r in t:
             for done in packer.add(r["doc_id"], r["start"], r["ids"], r["doc_tokens"]):
                 out.window(done)
@@ -182,10 +201,14 @@ def _merge(window: int, most: int, keep_ids: bool, level: int, last: bool):
     return run
 
 
+#: The special token of the 50k byte-level vocabulary (fixed value): its string in a text is this id.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def op10_bounded_space_packing(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """All documents as pieces in windows of 1024 ids of the 50k byte-level vocabulary."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = pack_documents(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
+    out = pack_documents(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False, special=SPECIAL)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
