@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from .common import Powers, batch, cut, mix, prefix_hashes, schema, shuffle_width, slices, text_bytes
 
-BANDS, ROWS = 48, 8
-BINS = BANDS * ROWS
+BANDS = 48
+#: A link shares no band with at most this probability; the rows of a band follow from it and the threshold.
+MISS = 1e-6
 SKETCH = 128
-#: Candidates whose sketches differ in more bits are no links of 0.8 (six standard deviations); small sets skip this test.
-SKETCH_MOST, SKETCH_LEAST_SET = 38, 128
+#: Candidates whose sketches differ in more bits are no links of 0.8: six standard deviations, as sets of so many shingles fill over 90 %
+#: of the bins, and copied bins are few. Smaller sets skip this test.
+SKETCH_MOST, SKETCH_LEAST_SET = 38, 1024
 #: Spokes of one star that are verified in one run.
 STAR = 256
 #: Members of a bucket that are compared in one task, as shingles, each member counting MEMBER more.
@@ -52,42 +54,59 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, powers: Powe
     return out
 
 
-def _probes(attempts: int) -> np.ndarray:
-    """The bins that an empty bin asks, in order: hashes of bin and attempt, the same for all sets."""
-    x = np.arange(attempts * BINS, dtype=np.uint64) + np.uint64(1)
-    return (mix(mix(x)) % np.uint64(BINS)).astype(np.int16).reshape(attempts, BINS)
+def band_rows(threshold: int) -> int:
+    """The most rows a band can have so that sets of `threshold` percent similarity share one of BANDS bands but for MISS."""
+    rows = 1
+    while (1 - (threshold / 100) ** (rows + 1)) ** BANDS <= MISS:
+        rows += 1
+    return rows
 
 
-_FEW, _MANY = _probes(24), _probes(2000)
-
-
-def signature(s: np.ndarray) -> np.ndarray:
-    """One permutation: the smallest hash in each of BINS equal ranges; an empty bin copies the first non-empty bin that its
+class Signatures:
+    """One permutation: the smallest hash in each of `bins` equal ranges; an empty bin copies the first non-empty bin that its
     probes hit (after 2000 misses the next one in order)."""
-    out = np.zeros(BINS, np.uint64)
-    where = ((s >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    first = np.flatnonzero(np.diff(where, prepend=-1))
-    out[where[first]] = s[first]
-    full = np.zeros(BINS, bool)
-    full[where[first]] = True
-    take, open_ = np.arange(BINS), np.flatnonzero(~full)
-    for table in (_FEW, _MANY):
+
+    def __init__(self, bins: int):
+        self.bins, self.few, self.many = bins, self._probes(bins, 24), None
+
+    @staticmethod
+    def _probes(bins: int, attempts: int) -> np.ndarray:
+        """The bins that an empty bin asks, in order: hashes of bin and attempt, the same for all sets."""
+        x = np.arange(attempts * bins, dtype=np.uint64) + np.uint64(1)
+        return (mix(mix(x)) % np.uint64(bins)).astype(np.int16).reshape(attempts, bins)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        bins = self.bins
+        out = np.zeros(bins, np.uint64)
+        where = ((s >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        out[where[first]] = s[first]
+        full = np.zeros(bins, bool)
+        full[where[first]] = True
+        take, open_ = np.arange(bins), np.flatnonzero(~full)
+        if len(open_):
+            open_ = self._ask(self.few, full, take, open_)
+        if len(open_):
+            if self.many is None:
+                self.many = self._probes(bins, 2000)
+            open_ = self._ask(self.many, full, take, open_)
         if len(open_):
-            hit = full[table[:, open_]]
-            take[open_] = table[hit.argmax(0), open_]
-            open_ = open_[~hit.any(0)]
-    if len(open_):
-        filled = np.flatnonzero(full)
-        take[open_] = filled[np.searchsorted(filled, open_) % len(filled)]
-    return out[take]
+            filled = np.flatnonzero(full)
+            take[open_] = filled[np.searchsorted(filled, open_) % len(filled)]
+        return out[take]
 
+    def _ask(self, table, full, take, open_):
+        hit = full[table[:, open_]]
+        take[open_] = table[hit.argmax(0), open_]
+        return open_[~hit.any(0)]
 
-_SCALE = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
+def _features(width: int, rows_: int, carry: list[str]):
+    bins = BANDS * rows_
+    scale = mix(np.arange(1, rows_ + 1, dtype=np.uint64)) | np.uint64(1)
 
-def _features(width: int):
     def run(batches):
-        powers, zip_ = Powers(), zstandard.ZstdCompressor(level=1)
+        powers, zip_, signature = Powers(), zstandard.ZstdCompressor(level=1), Signatures(bins)
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
             n, hi, lo, sketch, bands, packed = [], [], [], [], [], []
@@ -97,8 +116,8 @@ def _features(width: int):
                 n += [len(s) for s in sets]
                 hi += [mix(s).sum(dtype=np.uint64) for s in sets]
                 lo += [mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets]
-                sig = np.stack([signature(s) if len(s) else np.zeros(BINS, np.uint64) for s in sets])
-                key = mix((mix(sig.reshape(-1, BANDS, ROWS)) * _SCALE).sum(2, dtype=np.uint64) ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
+                sig = np.stack([signature(s) if len(s) else np.zeros(bins, np.uint64) for s in sets])
+                key = mix((mix(sig.reshape(-1, BANDS, rows_)) * scale).sum(2, dtype=np.uint64) ^ mix(np.arange(1, BANDS + 1, dtype=np.uint64)))
                 bands.append(key.view(np.int64).ravel())
                 bits = np.packbits((mix(sig[:, :SKETCH] + np.uint64(7)) & np.uint64(1)).astype(bool), axis=1)
                 sketch.append(np.ascontiguousarray(bits).view(np.int64).reshape(-1, 2))
@@ -109,6 +128,7 @@ def _features(width: int):
             yield batch({
                 "doc_id": b.column("doc_id"), "n": np.array(n, np.int64), "hi": np.array(hi, np.uint64).view(np.int64), "lo": np.array(lo, np.uint64).view(np.int64), "s0": sk[:, 0].copy(), "s1": sk[:, 1].copy(),
                 "bands": pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * BANDS, flat), "packed": pa.array(packed, pa.binary()),
+                "no_text": b.column("text").is_null(), **{c: b.column(c) for c in carry},
             })
 
     return run
@@ -151,7 +171,7 @@ def links(edges: DataFrame, payload: DataFrame, width: int, threshold: int) -> D
     """
     degree = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("long").alias("parts"))
     e = edges.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
-    p = payload.select(F.col("doc_id").alias("id"), "packed")
+    p = payload.select(F.col("row").alias("id"), "packed")
     spokes = e.join(p, F.col("b") == F.col("id")).select("a", "part", "b", "packed")
     hubs = e.select("a", "part").distinct().join(p, F.col("a") == F.col("id")).select("a", "part", F.lit(None).cast("long").alias("b"), "packed")
     width_ = shuffle_width(edges.sparkSession)
@@ -191,7 +211,7 @@ def _block_links(width: int, threshold: int):
 
     def run(table: pa.Table) -> pa.Table:
         powers, unzip = Powers(), zstandard.ZstdDecompressor()
-        ids, (_, root) = table.column("doc_id").to_numpy(), np.unique(table.column("root").to_numpy(), return_inverse=True)
+        ids, (_, root) = table.column("row").to_numpy(), np.unique(table.column("root").to_numpy(), return_inverse=True)
         some = np.flatnonzero(root != np.bincount(root).argmax())
         a = b = np.empty(0, np.int64)
         if len(some):
@@ -211,27 +231,27 @@ def _block_links(width: int, threshold: int):
 
 
 def links_inside(met: DataFrame, root: DataFrame, feats: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (a, b) between different groups of `root` (id, root): all pairs that share a bucket of `met` (key, doc_id, size) are compared.
+    """Links (a, b) between different groups of `root` (id, root): all pairs that share a bucket of `met` (key, row, size) are compared.
 
     A bucket's members outside its largest group are cut into blocks, and so are the members in it; the first meet each other and the
     second, block by block, so members of one group alone never meet and a task has two blocks, however large a bucket is.
     Buckets of two have been compared before.
     """
-    n = feats.select("doc_id", "n", "packed").dropDuplicates(["doc_id"])
-    rooted = met.filter("size > 2").select("key", "doc_id").join(root.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rooted = rooted.join(n.select("doc_id", (F.col("n") + MEMBER).alias("weight")), "doc_id")
+    n = feats.select("row", "n", "packed")
+    rooted = met.filter("size > 2").select("key", "row").join(root.withColumnRenamed("id", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    rooted = rooted.join(n.select("row", (F.col("n") + MEMBER).alias("weight")), "row")
     groups = rooted.groupBy("key", "root").agg(F.sum("weight").alias("weight"))
     main = groups.groupBy("key").agg(F.max_by("root", F.struct("weight", "root")).alias("main"), F.max("weight").alias("inside"), F.sum("weight").alias("all"), F.count("*").alias("groups"))
     parts = lambda c: F.ceil(c / BLOCK).cast("int")
     main = main.filter("groups > 1").select("key", "main", parts(F.col("all") - F.col("inside")).alias("p"), parts(F.col("inside")).alias("q"))
-    own, most = F.xxhash64("doc_id", "key"), F.col("root") == F.col("main")
+    own, most = F.xxhash64("row", "key"), F.col("root") == F.col("main")
     block = F.pmod(own, F.when(most, F.col("q")).otherwise(F.col("p"))).cast("int")
     wide = F.col("p") + F.col("q")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     outer = F.transform(upto(wide), lambda k: F.when(k < F.col("p"), F.least(k, F.col("block")) * wide + F.greatest(k, F.col("block"))).otherwise(F.col("block") * wide + k))
     inner = F.transform(upto(F.col("p")), lambda k: k * wide + F.col("p") + F.col("block"))
-    dealt = rooted.join(main, "key").withColumn("block", block).select("key", "doc_id", "root", F.explode(F.when(most, inner).otherwise(outer)).alias("cell"))
-    cells = dealt.join(n.select("doc_id", "packed"), "doc_id")
+    dealt = rooted.join(main, "key").withColumn("block", block).select("key", "row", "root", F.explode(F.when(most, inner).otherwise(outer)).alias("cell"))
+    cells = dealt.join(n.select("row", "packed"), "row")
     return cells.groupBy("key", "cell").applyInArrow(_block_links(width, threshold), schema("a long, b long"))
 
 
@@ -260,7 +280,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: groups linked by shingle-set similarity of `threshold` percent.
 
-    Equal sets collapse to their smallest id first, however many there are. Of the rest, each band bucket links its
+    Equal sets collapse to one row first, however many there are. Of the rest, each band bucket links its
     members to three centres, so buckets give stars, not pairs: the member that shares most buckets with most others (copies with
     the fewest edits; a copy that is similar to any is most similar to these), one drawn by that number, and one drawn evenly, all by
     hashes that differ from bucket to bucket. Size and sketch discard most candidates; then full sets decide, first on each
@@ -269,23 +289,55 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id:
     then their groups are one.
 
     A text that is null, empty or without words has n_shingles 0 and is its own group. A null id takes no part: component null,
-    kept. Rows that repeat an id with equal text get equal rows. An empty table gives an empty result; other columns play
-    no part.
+    kept. Rows that repeat an id are rows of their own: those of equal text are in one group, those of different texts in the
+    groups of their texts; `kept` holds for all rows with their group's smallest id. An empty table gives an empty result; other columns
+    play no part.
+    """
+    return _grouped(df, width, threshold, doc_id, text, [])[1].drop("row", "first")
+
+
+def distinct_texts(df: DataFrame, width: int = 5, threshold: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near_duplicates(), the first of those with the smallest id, with all columns of `df` as they are.
+
+    Rows are kept and dropped one by one, so a text never goes for another's id. Rows without words and rows without id stay.
     """
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    feats = cut(rows.mapInArrow(_features(width), schema("doc_id long, n long, hi long, lo long, s0 long, s1 long, bands array<long>, packed binary")))
+    feats, groups = _grouped(df, width, threshold, doc_id, text, [c for c in df.columns if c != text])
+    left = feats.join(groups.filter("not first").select("row"), "row", "left_anti")
+    names, out = [f.name for f in df.schema], df.schema
+
+    def run(batches):
+        unzip = zstandard.ZstdDecompressor()
+        for b in batches:
+            texts = [None if gone else unzip.decompress(z).decode() for gone, z in zip(b.column("no_text").to_pylist(), b.column("packed").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else b.column(_CARRIED + c) for c in names], names=names)
+
+    return left.select("no_text", "packed", *[f"`{_CARRIED}{c}`" for c in names if c != text]).mapInArrow(run, out)
+
+
+_CARRIED = "carried_"
+
+
+def _grouped(df: DataFrame, width: int, threshold: int, doc_id: str, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(features of every row, (row, doc_id, n_shingles, component_id, kept, first)); `row` is a number that each row has alone."""
+    spark = df.sparkSession
+    carried = [F.col(f"`{c}`").alias(_CARRIED + c) for c in carry]
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carried)
+    ddl = schema("doc_id long, n long, hi long, lo long, s0 long, s1 long, bands array<long>, packed binary, no_text boolean")
+    more = [rows.schema[_CARRIED + c] for c in carry]
+    feats = rows.mapInArrow(_features(width, band_rows(threshold), [f.name for f in more]), type(ddl)([*ddl.fields, *more]))
+    feats = cut(feats.withColumn("row", F.monotonically_increasing_id()))
     some = feats.filter("n > 0 and doc_id is not null")
-    sets = cut(some.groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "s0", "s1")).alias("r")).select("n", "hi", "lo", F.col("r.doc_id").alias("rep"), "r.s0", "r.s1"))
-    reps = some.select("doc_id", "bands").join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keyed = reps.select("doc_id", F.explode("bands").alias("key")).repartition(shuffle_width(df.sparkSession), "key")
+    sets = cut(some.groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.min(F.struct("row", "s0", "s1")).alias("r")).select("n", "hi", "lo", F.col("r.row").alias("rep"), "r.s0", "r.s1", "f"))
+    reps = some.select("row", "bands").join(sets.select(F.col("rep").alias("row")), "row", "left_semi")
+    keyed = reps.select("row", F.explode("bands").alias("key")).repartition(shuffle_width(spark), "key")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     met = cut(keyed.join(sizes, "key"))
-    liked = met.groupBy("doc_id").agg(F.sum("size").alias("liked"))
-    chance = F.shiftrightunsigned(F.xxhash64("key", "doc_id"), 32) / F.lit(float(1 << 32))
-    ranked = met.join(liked, "doc_id").select("key", "doc_id", "liked", (F.col("liked") * chance).alias("varied"), chance.alias("chance"))
-    centre = ranked.groupBy("key").agg(F.array_distinct(F.array(*[F.max_by("doc_id", F.struct(c, "doc_id")) for c in ("liked", "varied", "chance")])).alias("cs"))
-    stars = met.join(centre, "key").select("doc_id", F.explode("cs").alias("c")).filter("doc_id != c")
-    pairs = stars.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct()
+    liked = met.groupBy("row").agg(F.sum("size").alias("liked"))
+    chance = F.shiftrightunsigned(F.xxhash64("key", "row"), 32) / F.lit(float(1 << 32))
+    ranked = met.join(liked, "row").select("key", "row", "liked", (F.col("liked") * chance).alias("varied"), chance.alias("chance"))
+    centre = ranked.groupBy("key").agg(F.array_distinct(F.array(*[F.max_by("row", F.struct(c, "row")) for c in ("liked", "varied", "chance")])).alias("cs"))
+    stars = met.join(centre, "key").select("row", F.explode("cs").alias("c")).filter("row != c")
+    pairs = stars.select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b")).distinct()
     side = sets.select("rep", "n", "s0", "s1")
     left, right = (side.select(*[F.col(c).alias(f"{c}_{x}") for c in side.columns]) for x in "ab")
     differ = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
@@ -294,8 +346,8 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id:
     close = (F.least("n_a", "n_b") < SKETCH_LEAST_SET) | (differ <= SKETCH_MOST)
     cand = cut(known.filter(size & close).select("a", "b", differ.cast("int").alias("differ")))
 
-    ends = cand.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    payload = cut(feats.select("doc_id", "packed").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    ends = cand.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    payload = cut(feats.select("row", "packed").join(ends, "row", "left_semi"))
     ways = cand.select(F.col("a").alias("x"), F.col("b").alias("y"), "differ").unionAll(cand.select(F.col("b").alias("x"), F.col("a").alias("y"), "differ"))
     best = ways.groupBy("x").agg(F.min(F.struct("differ", "y")).alias("m")).select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
     true = cut(links(best, payload, width, threshold))
@@ -306,10 +358,13 @@ def near_duplicates(df: DataFrame, width: int = 5, threshold: int = 80, doc_id:
     more = links(cut(apart), payload, width, threshold).unionAll(links_inside(met, root, feats, width, threshold))
     root = components(root.select(F.col("id").alias("a"), F.col("root").alias("b")).unionAll(more))
 
-    groups = sets.join(root, F.col("rep") == F.col("id"), "left").select("n", "hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    out = feats.select("doc_id", "n", "hi", "lo").join(groups, ["n", "hi", "lo"], "left")
-    component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rooted = sets.join(root, F.col("rep") == F.col("id"), "left").select("n", "hi", "lo", "f", F.coalesce("root", "rep").alias("root"))
+    groups = rooted.join(rooted.groupBy("root").agg(F.min("f").alias("g")), "root").select("n", "hi", "lo", "g")
+    out = feats.select("row", "doc_id", "n", "hi", "lo").join(groups, ["n", "hi", "lo"], "left")
+    known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    component = F.when(known, F.col("g.doc_id")).otherwise(F.col("doc_id"))
+    kept, first = (F.when(known, x).otherwise(F.lit(True)) for x in (component == F.col("doc_id"), F.col("g.row") == F.col("row")))
+    return feats, out.select("row", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), first.alias("first"))
 
 
 def op6_minhash_near_duplicates(spark, sf_dir: str) -> DataFrame:
