@@ -17,6 +17,8 @@ from .common import Powers, batch, cut, mix, prefix_hashes, schema, slices, text
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 3 << 20
 _LOW = np.uint64((1 << 40) - 1)
 _POS = np.uint64((1 << 28) - 1)
+#: A longer text gives its anchors window by window, as places in a window have 28 bits.
+LONGEST = 1 << 24
 
 
 # --- two-stage suffix sorting -------------------------------------------------------------------------------------
@@ -216,7 +218,13 @@ class _Block:
     def anchors(self, length: int, powers: Powers):
         """Over slices of bounded size; documents and starts count from the block's beginning."""
         for at, to in slices(self.offsets):
-            base = self.offsets[at]
+            base, end = int(self.offsets[at]), int(self.offsets[to])
+            if end - base > LONGEST:  # one text; each of its strings starts in one window
+                for i in range(base, end - length + 1, LONGEST) if self.known[at] else ():
+                    part = self.data[i : min(end, i + LONGEST + length - 1)]
+                    h, doc, start, count = anchors(part, np.array([0, len(part)]), length, powers)
+                    yield h, doc + at, start + i, count
+                continue
             h, doc, start, count = anchors(self.data[base : self.offsets[to]], self.offsets[at : to + 1] - base, length, powers)
             keep = self.known[doc + at]
             yield h[keep], doc[keep] + at, start[keep] + base, count[keep]
@@ -226,9 +234,10 @@ class _Block:
         return [np.concatenate([p[i] for p in parts]) for i in range(4)] if parts else [np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3]
 
 
-def _split(bucket: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    return [(b, edges[b], edges[b + 1]) for b in np.flatnonzero(np.diff(edges))]
+def _split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of sorted bucket numbers."""
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else []
+    return [(int(bucket[i]), int(i), int(j)) for i, j in zip(edges[:-1], edges[1:])]
 
 
 def _fingerprints(length: int, buckets: int):
@@ -248,7 +257,7 @@ def _fingerprints(length: int, buckets: int):
                 at = np.flatnonzero(first)
                 last = np.concatenate([at[1:], [len(rest)]]) - 1 if len(at) else at
                 many = who[at] != who[last] if len(at) else np.empty(0, bool)
-                rest, found = rest[at], _split(bucket[at], buckets)
+                rest, found = rest[at], _split(bucket[at])
                 small = [rest[i:j].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, i, j in found]
                 yield batch({"bucket": np.array([x[0] for x in found], np.int64), "block": np.full(len(found), row["block"], np.int64), "hashes": pa.array(small, pa.binary()), "many": pa.array([np.packbits(many[i:j]).tobytes() for _, i, j in found], pa.binary())})
 
@@ -290,9 +299,10 @@ def _contexts(length: int, buckets: int):
             h, doc, start, count = block.all_anchors(length, powers)
             bucket, rest = (h % np.uint64(buckets)).astype(np.int64), h // np.uint64(buckets) & _LOW
             order = np.lexsort((rest, bucket))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            runs = {b: (i, j) for b, i, j in _split(bucket[order])}
             for r in shared.select(["bucket", "hashes"]).to_pylist():
-                own = order[edges[r["bucket"]] : edges[r["bucket"] + 1]]
+                i, j = runs[r["bucket"]]
+                own = order[i:j]
                 own = own[np.isin(rest[own], _hashes(r["hashes"]))]
                 size = count[own] + length - 1
                 text = _gather(block.data, start[own], size).tobytes()
@@ -415,13 +425,11 @@ def remove_repeats(df: DataFrame, length: int = 50, with_text: bool = False, doc
 
     A null or empty text has nothing removed (the sha256 of no bytes). Strings repeated only in one row, or in rows of the same
     id, stay. A row whose id is null keeps all and takes no part. An empty table gives an empty result; columns named by
-    `carry` come along, others play no part. `kept_text` also loses the rest of a character that a cut has split.
+    `carry` come along unless the result has their name, others play no part. A text of any length is looked at as a whole. `kept_text` also loses the rest of a character that a cut has split.
     """
     if length < 8:
         raise ValueError("length must be 8 or more")
-    carry = list(carry)
-    if clash := {*carry} & {"doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"}:
-        raise ValueError(f"carried columns {sorted(clash)} clash with the result's")
+    carry = [c for c in carry if c not in ("doc_id", "text", "block", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
     blocks = cut(rows.mapInArrow(_blocks(block_bytes, carry), schema(BLOCK)))
     zipped = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
