@@ -101,7 +101,8 @@ class Model:
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """The model from all rows with a language: trigram counts by language are summed by Spark; what comes to the driver
-    are DIMS numbers for each language."""
+    are DIMS numbers for each language. Null languages teach nothing, null and empty texts have no trigrams, repeated rows count
+    each, other columns play no part."""
     rows = df.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
     sums = rows.mapInArrow(_count, schema("lang string, bucket int, n long")).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
@@ -124,7 +125,10 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds `lang_pred`, `score` (0 to 1) and `ambiguous` to all rows.
 
     A text that is null, empty or without a letter gets `und`, score 0, not ambiguous; so does every text if nothing was
-    learned. Equal texts get equal predictions. Columns of the added names are replaced.
+    learned. A text with letters but under three bytes has no trigram: it gets the language that comes first in the alphabet among those
+    the zero margins leave equal, and is ambiguous where several were learned; so do ties. Equal texts get equal predictions, very long
+    texts are read whole, null ids and repeated rows are like others, an empty table gives an empty result. Columns of the added
+    names are replaced.
     """
     df = df.drop("lang_pred", "score", "ambiguous")
 

@@ -76,7 +76,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray, powers: Powers) -> np.ndar
 
 
 def with_statistics(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x): the statistics of every whole text; a null text is empty."""
+    """(doc_id, x): the statistics of every whole text; a null text is empty, a null id stays null. Rows that repeat an id or a text are
+    rows of their own; an empty table gives an empty result; other columns play no part."""
 
     def run(batches):
         powers = Powers()
@@ -136,14 +137,21 @@ class Discriminant:
 
 
 def fit(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "label", fit_rows: int = FIT_ROWS) -> Discriminant:
-    """From the rows of `stats` that have a label 0 or 1; more than `fit_rows` of them are sampled by the hash of their id."""
-    rows = stats.join(labels.filter(F.col(label).isin(0, 1)).select(doc_id, F.col(label).cast("double").alias("__y")), doc_id)
-    got = rows.select("x", "__y", F.xxhash64(doc_id).alias("h")).orderBy("h", "__y").limit(fit_rows).collect()
+    """From the rows of `stats` that have a label 0 or 1; more than `fit_rows` of them are sampled by the hash of their id, ties by label.
+
+    Other labels and null labels or ids teach nothing. An id with several labels counts once with each of them, also with
+    two that differ; equal label rows are one. Rows that repeat an id all count. Other columns play no part.
+    """
+    taught = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y")).distinct()
+    rows = stats.select("x", F.col("doc_id").alias("__id")).join(taught, "__id")
+    got = rows.select("x", "__y", F.xxhash64("__id").alias("h")).orderBy("h", "__y").limit(fit_rows).collect()
     return Discriminant(np.array([r[0] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got]))
 
 
 def score(stats: DataFrame, model: Discriminant) -> DataFrame:
-    """Adds `score` to the rows of with_statistics(); without two classes to learn from it is their share of label 1."""
+    """Adds `score` to the rows of with_statistics(); without two classes to learn from it is their share of label 1 (a half if there are
+    no labels). Equal statistics get equal scores. A column `score` is replaced, other columns are kept."""
+    stats = stats.drop("score")
 
     def run(batches):
         for b in batches:
