@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, near duplicates, repeated passages, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of `documents`; the last returns pieces of
-token windows. A stage sees all that the one before kept. Null texts count as empty, and columns beyond those of `documents` are
-carried by the filters and dropped where texts change.
+token windows. A stage sees all that the one before kept. Columns beyond those of `documents`, clashing names among them, are
+dropped at a stage's start. An empty table passes through every stage as an empty one. What stages do with nulls and repeated rows is said at each.
 """
 
 from __future__ import annotations
@@ -22,35 +22,39 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a clear language; learns from all rows with a language."""
+    """Drops documents without a letter (null and empty texts too) or without a clear language; learns from all rows with a language.
+    Null ids and repeated rows are judged by their texts, like others."""
+    docs = docs.select(*COLUMNS)
     out = langid.predict(docs, langid.learn(docs))
     return out.filter((F.col("lang_pred") != langid.UNDETERMINED) & ~(F.col("ambiguous") & (F.col("score") < LEAST_SCORE))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group: five-word shingles, similarity 0.8."""
-    gone = neardup.near_duplicates(docs, 5, 80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group, the first of those with the smallest doc_id: five-word shingles, similarity 0.8. Rows are dropped one
+    by one, whatever ids they share; rows without words and rows without id stay."""
+    return neardup.distinct_texts(docs.select(*COLUMNS), 5, 80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages out of texts that an earlier document has. A text of which nothing is left goes."""
-    kept = sadedup.remove_repeats(docs, PASSAGE_BYTES, with_text=True, carry=("lang", "source", "n_chars"))
+    """Takes passages out of texts that a document with a smaller id has. A text of which nothing is left goes. Null texts are empty ones
+    from here on; null ids take no part; rows of one id don't cut each other."""
+    kept = sadedup.remove_repeats(docs.select(*COLUMNS), PASSAGE_BYTES, with_text=True, carry=("lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
     size = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return kept.filter(~changed | F.col("kept_text").rlike(r"\S")).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats and drops documents towards tempered source weights, in a global shuffle."""
-    return mixing.mix_sources(docs, position=False).select(*COLUMNS)
+    """Repeats and drops documents towards tempered source weights, in a global shuffle. A null source is a source; rows that repeat an id
+    get the same number of copies."""
+    return mixing.mix_sources(docs.select(*COLUMNS), position=False).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 1024 tokens."""
+    """Windows of 1024 tokens. A null or empty text is its end token; ids may be null or repeat."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
+    return packing.pack_documents(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False, special=packing.SPECIAL)
 
 
 STAGES = [
