@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from evispark.llm import ann, langid, licenses, mixing, neardup, packing, quality, sadedup, sharding, topk
+from evispark.llm import ann, cells, langid, licenses, mixing, neardup, packing, quality, sadedup, sharding, topk
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double, kept boolean"
 
@@ -45,18 +45,67 @@ def test_shards(docs, none):
     assert len(got) == len(rows()) and max(sizes) - min(sizes) <= 1
     assert all(sorted(r.slot for r in got if r.shard == k) == list(range(n)) for k, n in enumerate(sizes))
     assert sharding.shard_rows(none, 5).count() == 0
+    # places don't follow ids: over 400 rows each shard has about a fifth of each half
+    many = sharding.shard_rows(docs.sparkSession.range(4000), 5).collect()
+    halves = [sum(r.shard == k and r.id < 2000 for r in many) for k in range(5)]
+    assert sum((x - 400) ** 2 / 320 for x in halves) < 25 and abs(np.corrcoef([r.id for r in many], [r.slot for r in many])[0, 1]) < 0.1
     m = sharding.communication_matrix([10, 0, 7, 30], 4, 3)
     assert m.sum(1).tolist() == [10, 0, 7, 30] and np.ptp(m.sum(0)) <= 1
     assert sharding.communication_matrix([2 * 10**9, 10**9], 3, 0).sum(0).tolist() == [10**9] * 3
 
 
+def test_hypergeometric_laws_agree():
+    """The rejection sampler against numpy's, which populations under 10^9 use, by mean, variance and tails."""
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((500, 1500, 300), (3, 40, 20), (10_000, 10_000, 5_000)):
+        mine = np.array([sharding.rejected(rng, good, bad, n) for _ in range(6000)])
+        theirs = rng.hypergeometric(good, bad, n, 60_000)
+        assert abs(mine.mean() - theirs.mean()) < 5 * theirs.std() / np.sqrt(6000) and abs(mine.std() / theirs.std() - 1) < 0.05
+        for q in (0.05, 0.5, 0.95):
+            at = np.quantile(theirs, q)
+            assert abs((mine <= at).mean() - (theirs <= at).mean()) < 0.03
+    big = [sharding.hypergeometric(rng, 10**11, 9 * 10**11, 10**9) for _ in range(50)]
+    assert abs(np.mean(big) / 1e8 - 1) < 1e-4 and 3000 < np.std(big) < 20_000
+
+
+def test_op2_query(spark):
+    import pyarrow.parquet as pq
+
+    want = {r["doc_id"]: (r["text"] or "").encode() for r in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()}
+    got = sharding.op2_hypergeometric_shards(spark, "/root/testdata/sf0.001").collect()
+    assert {(r.doc_id, r.size, r.text_crc32) for r in got} == {(d, len(b) + 1, zlib.crc32(b)) for d, b in want.items()} and len(got) == len(want)
+    sizes = [sum(r.shard == k for r in got) for k in range(16)]
+    assert sum(sizes) == len(want) and max(sizes) - min(sizes) <= 1 and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sizes[k])) for k in range(16))
+
+
 def test_mixing(docs, none):
-    got = mixing.mix_sources(docs, weights={"hot": 1.0, None: 0.0}.__class__({"hot": 1.0}), target_rows=500).collect()
+    got = mixing.mix_sources(docs, weights={"hot": 1.0}, target_rows=500).collect()
     assert {r.source for r in got} == {"hot"} and abs(len(got) - 500) < 120
     assert sorted(r.position for r in got) == list(range(len(got)))
     again = mixing.mix_sources(docs.repartition(2), weights={"hot": 1.0}, target_rows=500).collect()
     assert sorted((r.doc_id, r.copy, r.position) for r in got if r.doc_id is not None) == sorted((r.doc_id, r.copy, r.position) for r in again if r.doc_id is not None)
     assert mixing.mix_sources(none).count() == 0
+    nulls = mixing.mix_sources(docs).filter("source is null").count()
+    assert 0 < nulls < 2 * len(rows())
+    clash = docs.withColumnsRenamed({"shard": "copies", "score": "rate", "kept": "position"})
+    assert len(mixing.mix_sources(clash).columns) == len(set(mixing.mix_sources(clash).columns))
+
+
+def test_mixing_with_salted_rates(docs, monkeypatch):
+    want = sorted((r.doc_id or -1, r.copy, r.rate) for r in mixing.mix_sources(docs, position=False).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
+    assert sorted((r.doc_id or -1, r.copy, r.rate) for r in mixing.mix_sources(docs, position=False).collect()) == want
+
+
+def test_positions_of_equal_keys_are_gapless(spark):
+    from pyspark.sql import functions as F
+
+    from evispark.llm.common import rank_in
+
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("x"))
+    got = [r.at for r in rank_in(df.withColumn("g", F.lit(0)), ["g"], F.xxhash64("x"), "at", rows_per_part=50).collect()]
+    assert sorted(got) == list(range(3000))
 
 
 def test_mean_of_large_poisson_rates(spark):
@@ -93,6 +142,22 @@ def test_near_duplicates(docs, none, width, least):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_are_rows_of_their_own(spark):
+    a, b = "one two three four five six seven", "quite another text that nobody else has written"
+    df = spark.createDataFrame([(1, a, "x"), (2, b, "y"), (2, a, "z"), (2, a, "z"), (None, a, "n"), (3, None, "e"), (3, None, "e"), (4, "", "v")], "doc_id long, text string, packed string")
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (2, 1, False), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True), (4, 4, True)]
+    left = neardup.distinct_texts(df)
+    assert left.schema == df.schema
+    assert sorted(map(repr, left.collect())) == sorted(map(repr, [r for r in df.collect() if not (r.doc_id == 2 and r.text == a)]))
+
+
+def test_bands_follow_the_threshold():
+    for t in (50, 70, 80, 85, 95):
+        assert (1 - (t / 100) ** neardup.band_rows(t)) ** neardup.BANDS <= neardup.MISS
+    assert neardup.band_rows(85) == 8
+
+
 def test_links_inside_a_family_just_under_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 1 << 17)  # several blocks a bucket
     base = " ".join(f"t{i}" for i in range(185))  # 183 of 200 shingles: 0.843; with the next two words 185: 0.860
@@ -148,13 +213,21 @@ def test_repeats(docs, none):
     assert sadedup.remove_repeats(none, 50).count() == 0
 
 
+def test_repeats_in_texts_longer_than_a_window(docs, monkeypatch):
+    want = sorted(map(repr, sadedup.remove_repeats(docs, 50).collect()))
+    monkeypatch.setattr(sadedup, "LONGEST", 700)
+    monkeypatch.setattr(sadedup, "slices", lambda offsets, most=0: ((i, i + 1) for i in range(len(offsets) - 1)))
+    assert sorted(map(repr, sadedup.remove_repeats(docs.repartition(1), 50).collect())) == want
+    clash = docs.withColumnsRenamed({"kept": "n_bytes", "score": "block"})
+    assert sadedup.remove_repeats(clash, 50, carry=("n_bytes", "block", "lang")).columns[-1] == "lang"
+
+
 def test_packing(docs, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    got = packing.pack_documents(docs, P.path("byte_bpe_50k.tiktoken"), open_windows=4).collect()
+    got = packing.pack_documents(docs, P.path("byte_bpe_50k.tiktoken"), open_windows=4, special=packing.SPECIAL).collect()
     by_doc, by_window = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -180,9 +253,9 @@ def test_word_coder_agrees_on_odd_spaces():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    coder = packing.WordCoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    for text in ["", " ", "a b", " a", "a ", "a  b", "a \n b", "\n a", "a  b  c", "I'll go's <|endoftext|> x", "é 12 3!  ?", "\t x"]:
+    coder = packing.WordCoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, packing.SPECIAL)
+    end = "<|endoftext|>"
+    for text in [end, f"{end} a", f"a {end} b", f"a{end}", f" {end}{end} ", f"a  {end}  b", "<|endoftext", f"<{end}>", "", " ", "a b", " a", "a ", "a  b", "a \n b", "\n a", "a  b  c", "I'll go's <|endoftext|> x", "é 12 3!  ?", "\t x"]:
         assert np.frombuffer(coder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
@@ -218,6 +291,93 @@ def test_quality_edges(spark, docs, none):
     assert quality.score(quality.with_statistics(none), quality.fit(quality.with_statistics(none), labels)).count() == 0
 
 
+def naive_statistics(text):
+    """The features of a text, counted one by one."""
+    b = (text or "").encode()
+    n, words, lines = len(b), re.findall(rb"[^\x20\x09-\x0D]+", b), re.findall(rb"[^\n]+", b)
+    of = lambda chars: (sum(x in chars for x in b) / max(n, 1)) ** 0.5
+    counts = [b.count(bytes([x])) / n for x in set(b)] if n else []
+    many = max(len(words), 1)
+    copies = sum(len(x) for x in lines) - sum(len(x) for x in set(lines))
+    return [
+        np.log1p(n), np.log1p(len(words)), np.log1p(len(lines)), of(range(65, 91)), of(range(48, 58)), of(b".,;:!?'\"()-"), of(b"#$%&*@^~_=+<>/\\[]{}`"), of(b"|"), of(range(128, 256)),
+        np.log1p(sum(map(len, words)) / many), np.log((len(set(words)) + 1) / (len(words) + 1)), (max([words.count(x) for x in set(words)], default=0) / many) ** 0.5, (copies / max(n, 1)) ** 0.5,
+        (sum(65 <= x[0] < 91 for x in words) / many) ** 0.5, (sum(len(x) <= 3 for x in words) / many) ** 0.5, -sum(p * np.log2(p) for p in counts),
+    ]
+
+
+def test_statistics_against_counting(docs):
+    got = {}
+    for r in quality.with_statistics(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.x)
+    for d, t, *_ in rows():
+        if len(t or "") < 5000:
+            assert any(np.allclose(x, naive_statistics(t), atol=1e-9) for x in got[d]), d
+
+
+def test_discriminant_against_densities():
+    """Mahalanobis log-density differences by inverses and determinants of the shrunk covariances."""
+    rng = np.random.default_rng(2)
+    x, y = np.concatenate([rng.normal(0, 1, (80, 3)), rng.normal(1, 2, (60, 3))]), np.array([0] * 80 + [1] * 60)
+    model = quality.Discriminant(x, y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-3)
+    both = [z[y == 0], z[y == 1]]
+    pooled = sum(((a - a.mean(0)).T @ (a - a.mean(0))) for a in both) / len(z)
+    logs = []
+    for a in both:
+        cov = 0.7 * (a - a.mean(0)).T @ (a - a.mean(0)) / len(a) + 0.3 * pooled
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(pooled) + 0.05)
+        logs.append([-0.5 * (r - a.mean(0)) @ np.linalg.inv(cov) @ (r - a.mean(0)) - 0.5 * np.log(np.linalg.det(cov)) for r in z])
+    assert np.allclose(model.difference(x), np.arcsinh(np.subtract(logs[1], logs[0])))
+
+
+def test_quality_labels(spark, docs):
+    stats = quality.with_statistics(docs).cache()
+    once = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int")
+    odd = once.unionAll(once).unionAll(spark.createDataFrame([(3, None), (None, 1), (4, 7)], "doc_id long, label int"))
+    a, b = (quality.score(stats.withColumnRenamed("doc_id", "doc_id"), quality.fit(stats, x)).collect() for x in (once, odd))
+    assert np.allclose(sorted(r.score for r in a), sorted(r.score for r in b))
+    from pyspark.sql import functions as F
+
+    assert quality.score(stats.withColumn("score", F.lit("old")), quality.fit(stats, once)).columns == ["doc_id", "x", "score"]
+
+
+def naive_language(texts, langs, asked):
+    """Counts, bit classifiers and loss-weighted decoding by loops."""
+    def grams(t):
+        low = bytes(x + 32 if 65 <= x < 91 else x if 97 <= x < 123 or x >= 128 else 32 for x in (t or "").encode())
+        return [(((a << 16 | b << 8 | c) * 2654435761) & 0xFFFFFFFF) >> 19 for a, b, c in zip(low, low[1:], low[2:]) if (a, b, c) != (32, 32, 32)]
+
+    names = sorted({x for x in langs if x is not None})
+    counts = {x: np.zeros(langid.DIMS) for x in names}
+    for t, x in zip(texts, langs):
+        for g in grams(t) if x is not None else ():
+            counts[x][g] += 1
+    share = {x: (counts[x] + 0.5) / (counts[x].sum() + 0.5 * langid.DIMS) for x in names}
+    code, bits, apart = langid.codewords(len(names)), [], []
+    for bit in code.T:
+        one, two = (np.mean([share[x] for x, s in zip(names, bit) if s == side], axis=0) if side in bit else np.full(langid.DIMS, 1 / langid.DIMS) for side in (1, -1))
+        bits.append(np.log(one) - np.log(two))
+        apart.append(((one - two) * bits[-1]).sum())
+    out = []
+    for t in asked:
+        g = grams(t)
+        loss = [sum(a / np.mean(apart) * np.log1p(np.exp(-c * sum(w[i] for i in g) / np.sqrt(len(g) + 1))) for a, c, w in zip(apart, word, bits)) for word in code]
+        out.append((names[int(np.argmin(loss))], 1 / sum(np.exp(min(loss) - x) for x in loss)))
+    return out
+
+
+def test_language_against_loops(spark):
+    import pyarrow.parquet as pq
+
+    some = pq.read_table("/root/testdata/sf0.001/documents.parquet").slice(0, 60).to_pylist()
+    df = spark.createDataFrame([(r["doc_id"], r["text"][:300], r["lang"]) for r in some], "doc_id long, text string, lang string")
+    want = naive_language([r["text"][:300] for r in some], [r["lang"] for r in some], [r["text"][:300] for r in some])
+    got = {r.doc_id: r for r in langid.predict(df, langid.learn(df)).collect()}
+    for r, (lang, score) in zip(some, want):
+        assert got[r["doc_id"]].lang_pred in (lang, "und") and (got[r["doc_id"]].lang_pred == "und" or abs(got[r["doc_id"]].score - score) < 1e-3)
+
+
 def vectors(spark):
     rng = np.random.default_rng(0)
     v = rng.standard_normal((400, 16))
@@ -227,7 +387,15 @@ def vectors(spark):
     return spark.createDataFrame(out, "vec_id long, embedding array<float>, rank string"), np.array([r[1] for r in out[:400]])
 
 
-def test_nearest(spark):
+@pytest.fixture(params=["one cell", "many cells and runs"])
+def layout(request, monkeypatch):
+    if request.param != "one cell":
+        monkeypatch.setattr(cells, "CELL_ROWS", 50)
+        monkeypatch.setattr(cells, "RUN_NUMBERS", 30 * 16)
+        monkeypatch.setattr(cells, "QUERY_ROWS", 6)
+
+
+def test_nearest(spark, layout):
     df, v = vectors(spark)
     got = ann.nearest(df, df.filter("vec_id % 20 = 0"), 10).collect()
     hits = 0
@@ -242,7 +410,38 @@ def test_nearest(spark):
     assert ann.nearest(df.filter("vec_id < 4"), df.filter("vec_id = 0"), 10).count() == 3
 
 
-def test_top_products(spark):
+def test_search_verifies_part_of_the_rows():
+    v = np.random.default_rng(1).standard_normal((4000, 64))
+    search = ann.TreeSearch(ann.projection(64))
+    state = search.prepare(np.arange(4000), v)
+    search(state, np.arange(20), np.arange(20), v[:20], np.full(20, np.inf), 10)
+    assert search.verified < 0.8 * 20 * 4000
+
+
+def test_op1_recall(spark):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    ids, v = t["vec_id"].to_numpy(), np.array(t["embedding"].to_pylist(), float)
+    got = ann.op1_stable_projection_neighbours(spark, "/root/testdata/sf0.01").collect()
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = ids[np.lexsort((ids, d))[:10]].tolist()
+        hits, total = hits + len({r.vec_id for r in got if r.query_id == ids[q]} & set(want)), total + 10
+    assert len(got) == total and hits >= 0.9 * total
+
+
+def test_query_rows_of_one_id_get_lists_of_their_own(spark):
+    df = spark.createDataFrame([(0, [0.0, 1.0]), (0, [9.0, 0.0]), (1, [0.0, 2.0]), (2, [8.0, 0.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.nearest(df, df.filter("vec_id = 0"), 2).collect())
+    assert got == [(0, 1, 1, 1.0), (0, 1, 2, 1.0), (0, 2, 1, 1.0), (0, 2, 1, round(85**0.5, 6))]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_products(df, df.filter("vec_id = 0"), 1, scale=1).collect())
+    assert got == [(0, 1, 1, 2), (0, 1, 2, 72)]
+
+
+def test_top_products(spark, layout):
     df, v = vectors(spark)
     z = np.floor(256 * v)
     got = topk.top_products(df, df.filter("vec_id % 20 = 0"), 5).collect()
@@ -254,6 +453,20 @@ def test_top_products(spark):
     assert topk.top_products(df.limit(0), df, 5).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e6, 1e12, 1e30])
+def test_products_of_any_size_are_exact(spark, size):
+    v = np.random.default_rng(4).standard_normal((60, 6)) * size
+    v[1::2] = np.nextafter(v[::2], np.inf)  # products that differ in the last bits
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    whole = [[int(x) if abs(x) > 2**53 else int(np.floor(x)) for x in r * 256.0] for r in v]
+    got = topk.top_products(df, df.filter("vec_id % 10 = 0"), 5).collect()
+    for i in range(0, 60, 10):
+        score = {j: sum(a * b for a, b in zip(whole[i], whole[j])) for j in range(60) if j != i}
+        want = sorted(score, key=lambda j: (-score[j], j))[:5]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == i)
+        assert [j for _, j, _ in mine] == want and [s for *_, s in mine] == [min(score[j], 2**63 - 1) for j in want]
+
+
 def test_licenses(spark):
     files = [
         ("LICENSE", "Released under the MIT License.", 1), ("a/x.py", "code", 1), ("a/b/LICENSE.txt", "Licensed under the Apache License, Version 2.0.", 1), ("a/b/c/y.py", None, 1), ("a/b/z.py", "# Licensed under CC BY-NC 4.0.\nmore", 1),
@@ -267,16 +480,115 @@ def test_licenses(spark):
     assert licenses.license_scan(spark.createDataFrame([], "path string, text string, score int")).count() == 0
 
 
-def test_pipeline_stages(spark, docs):
+def test_real_licence_files(spark):
+    texts = dict(licenses.templates()[: len(licenses.os.listdir(licenses.TEXTS))])
+    owner = "Copyright (c) 2019 The Example Authors\n\n"
+    files = [(f"{name}/LICENSE", owner + text.replace("<year> <owner>", "2020 Somebody")) for name, text in texts.items()] + [(f"{name}/src/a.c", "int x;") for name in texts]
+    apache = licenses.NOTICES[1][1]
+    heads = {
+        "h/spdx.js": ("// SPDX-License-Identifier: MIT\nlet x = 1;", "MIT"), "h/spdx.rs": ("// SPDX-License-Identifier: Apache-2.0\nfn f() {}", "Apache-2.0"), "h/later.c": ("/* SPDX-License-Identifier: GPL-2.0-or-later */\nint y;", "GPL-2.0"),
+        "h/g.py": ("# Copyright 2020 Example Inc.\n#\n" + "\n".join(f"# {x}" for x in apache.split(". ")) + "\n\nimport os\n", "Apache-2.0"),
+        "h/m.cpp": ("/* " + licenses.NOTICES[-2][1] + " */\nint z;", "MPL-2.0"), "h/page.html": ("<!-- Released under the MIT License. -->\n<p>text</p>", "MIT"), "h/prose.txt": ("# a heading\nnothing of the kind is said in these words", None), "h/long.txt": ("word " * 40_000 + "\nReleased under the MIT License.\n" + "word " * 1000, "MIT"),
+    }
+    df = spark.createDataFrame(files + [(p, t) for p, (t, _) in heads.items()] + [("h/prose.txt", heads["h/prose.txt"][0])], "path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.license_scan(df).collect()}
+    for name in texts:
+        assert got[f"{name}/LICENSE"] == (name, "own") and got[f"{name}/src/a.c"] == (name, "inherited")
+    for p, (_, name) in heads.items():
+        assert got[p] == (name, "own" if name else "none"), p
+
+
+def test_cosine_ties_go_to_the_smaller_name(spark):
+    known = [("b", "alpha beta license"), ("a", "license beta alpha"), ("c", "gamma")]
+    r = licenses.license_scan(spark.createDataFrame([("f", "alpha license beta")], "path string, text string"), known=known).first()
+    assert (r.license, r.score) == ("a", 1.0)
+
+
+def components_of(texts, width, least):
+    sets = [shingles(t, width) for t in texts]
+    root = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(sets)):
+            for j in range(i):
+                same = len(sets[i] & sets[j])
+                if same and 100 * same >= least * len(sets[i] | sets[j]) and root[i] != root[j]:
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+    return root
+
+
+def test_pipeline_stages(spark, docs, none):
     import corpus_pipeline as C
 
-    clean = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).select(*C.COLUMNS)
-    kept = C.STAGES[0][1](spark, clean, "")
-    assert {r.doc_id for r in kept.collect()} >= {d for d, t, *_ in rows() if d is not None and len(re.findall("[a-z]", t or "")) > 200}
-    once = C.STAGES[1][1](spark, clean, "")
-    assert sum(r.text == rows()[3][1] for r in once.collect()) == 1
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    for name, stage in C.STAGES:
+        assert stage(spark, none, "").count() == 0, name
+    kept = C.STAGES[0][1](spark, docs, "")
+    model = langid.predict(docs.select(*C.COLUMNS), langid.learn(docs)).collect()
+    want = [tuple(r)[:5] for r in model if any(c.isalpha() for c in r.text or "") and not (r.ambiguous and r.score < C.LEAST_SCORE)]
+    assert kept.columns == C.COLUMNS and sorted(map(key, kept.collect())) == sorted(map(key, want))
+
+    data = [tuple(r)[:5] for r in rows()]
+    once = C.STAGES[1][1](spark, docs, "")
+    some = [i for i, r in enumerate(data) if r[0] is not None and shingles(r[1], 5)]
+    root = components_of([data[i][1] for i in some], 5, 80)
+    want = [r for r in data if r[0] is None or not shingles(r[1], 5)]
+    for x in set(root):
+        want.append(min((data[i] for i, y in zip(some, root) if y == x), key=lambda r: r[0]))
+    assert once.columns == C.COLUMNS and sorted(map(key, once.collect())) == sorted(map(key, want))
+
     texts = C.STAGES[2][1](spark, once, "")
-    assert texts.columns == C.COLUMNS and texts.count() == once.count()
-    mixed = C.STAGES[3][1](spark, texts, "")
-    assert mixed.columns == C.COLUMNS
-    assert C.STAGES[4][1](spark, mixed, "").count() > 0
+    seen, cut_ = {}, []
+    for d, t, *_ in want:
+        b = (t or "").encode()
+        for i in range(len(b) - C.PASSAGE_BYTES + 1) if d is not None else ():
+            s = b[i : i + C.PASSAGE_BYTES]
+            seen[s] = min(seen.get(s, d), d)
+    for d, t, lang, source, n in want:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - C.PASSAGE_BYTES + 1) if d is not None else ():
+            if seen[b[i : i + C.PASSAGE_BYTES]] < d:
+                gone[i : i + C.PASSAGE_BYTES] = b"\1" * C.PASSAGE_BYTES
+        left = "".join(c for c, k in zip(t or "", np.cumsum([0] + [len(c.encode()) for c in t or ""])) if not any(gone[k : k + len(c.encode())]))
+        if not any(gone) or left.strip():
+            cut_.append((d, left, lang, source, len(left) if any(gone) else n))
+    assert texts.columns == C.COLUMNS and sorted(map(key, texts.collect())) == sorted(map(key, cut_))
+
+    mixed = C.STAGES[3][1](spark, texts, "").collect()
+    total = len(cut_)
+    counts = {s: sum(r[3] == s for r in cut_) for s in {r[3] for r in cut_}}
+    shares = {s: n**mixing.TEMPERATURE for s, n in counts.items()}
+    steps = {}
+    for s, n in counts.items():
+        rate = total * shares[s] / (sum(shares.values()) * n)
+        steps[s] = np.cumsum(np.exp([k * np.log(rate) - rate - sum(np.log(j) for j in range(1, k + 1)) for k in range(60)]))
+    want = []
+    for r in cut_:
+        u = (int(hashlib.md5(f"count0:{'~' if r[0] is None else r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        want += [r] * int((steps[r[3]] < u).sum())
+    assert sorted(map(key, mixed)) == sorted(map(key, want))
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    pieces = C.STAGES[4][1](spark, spark.createDataFrame(mixed, docs.select(*C.COLUMNS).schema), "").collect()
+    assert sum(r.length for r in pieces) == sum(len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in want)
+    windows = {}
+    for r in pieces:
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in windows.values():
+        assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1].tolist()] and sum(n for _, n in parts) <= 1024
+
+
+def test_stages_drop_clashing_columns_and_keep_unique_texts(spark):
+    import corpus_pipeline as C
+
+    a, b = "the first of these two texts is told again and again", "while this one is told only once in all the table"
+    df = spark.createDataFrame([(1, a, "en", "s", 1, 9.0), (2, b, "en", "s", 1, 9.0), (2, a, "en", None, 1, None)], "doc_id long, text string, lang string, source string, n_chars long, score double")
+    once = C.near_duplicates(spark, df, "").collect()
+    assert sorted((r.doc_id, r.text) for r in once) == [(1, a), (2, b)] and once[0].__fields__ == C.COLUMNS
+    assert C.language(spark, df, "").columns == C.COLUMNS and C.mixture(spark, df, "").columns == C.COLUMNS and C.repeated_passages(spark, df, "").columns == C.COLUMNS
