@@ -1,8 +1,9 @@
 """All queries of the library by name, and the SQL that checks them."""
 
-from . import analytic, curation, relational
+from . import analytic, clocks, curation, relational
 
-QUERIES: dict = analytic.QUERIES | curation.QUERIES | relational.QUERIES
+_PLANS = (analytic, curation, relational, clocks)
+QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 
 #: Sums of integers, which the checking engine widens to 128 bits.
 _SUMS = {
@@ -16,4 +17,4 @@ def _narrow(name: str, sql: str) -> str:
     return f"SELECT * REPLACE ({casts}) FROM ({sql}) t" if casts else sql
 
 
-ORACLES: dict = {name: _narrow(name, sql) for name, sql in (analytic.ORACLES | curation.ORACLES | relational.ORACLES).items()}
+ORACLES: dict = {name: _narrow(name, sql) for plan in _PLANS for name, sql in plan.ORACLES.items()}
