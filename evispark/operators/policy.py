@@ -26,7 +26,11 @@ def compile_predicate(rule: dict) -> Column:
         return F.coalesce(c == F.lit(value), F.lit(False))
     if op == "in":
         return F.coalesce(c.isin(*value), F.lit(False))
-    return F.coalesce(_NUMERIC[op](c.cast("string").try_cast("double"), F.lit(float(value))), F.lit(False))
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        return F.lit(False)
+    return F.coalesce(_NUMERIC[op](c.cast("string").try_cast("double"), F.lit(number)), F.lit(False))
 
 
 def first_match(rules: list[tuple[str, dict]], default: str) -> Column:

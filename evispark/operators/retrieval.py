@@ -1,7 +1,7 @@
 """Lexical and vector retrieval, rank fusion, reranking, caps and verdicts.
 
-Queries are few and short: term lists and statistics of the corpus (a count per term) are literals of the plan, so a search is
-one scan with partial aggregation and a top-k, without exploding postings.
+A corpus that is searched often gets postings once; a search reads those of its terms. Queries are few and short: term lists and
+a count per term are literals of the plan.
 """
 
 from __future__ import annotations
@@ -12,16 +12,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .lineage import cut
 
 K1, B, RRF_K, IDF_FLOOR = 1.2, 0.75, 60, 1e-6
 
 
+def postings(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> tuple[str, int, float]:
+    """Writes (term, key, tf, dl) of all rows to `folder`, ranged and sorted by term, and gives (folder, rows, mean length).
+
+    One pass over the texts serves all searches after it: files and row groups hold few terms each, so a search reads those of
+    its own. Ranges are of (term, key), so a term that a third of all rows have spans several files.
+    """
+    words = df.select(key, X.tokens(F.col(text)).alias("w"))
+    sizes = words.select(key, F.size("w").alias("dl"), "w")
+    terms = sizes.select(key, "dl", F.explode("w").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms.repartitionByRange(parts, "term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(folder)
+    n, average = df.select(X.tokens(F.col(text)).alias("w")).agg(F.count("*"), F.avg(F.size("w"))).first()
+    return folder, n, average or 1.0
+
+
+def search(df: DataFrame, n: int, average: float, terms: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, bm25) from postings: documents with any of the terms, higher is better; very common terms weigh 10^-6."""
+    hits = df.filter(F.col("term").isin(terms))
+    seen = dict(hits.groupBy("term").count().collect())  # a number for each term asked for
+    idf = {t: max(math.log((n - seen[t] + 0.5) / (seen[t] + 0.5)), IDF_FLOOR) for t in seen}
+    if not idf:
+        return hits.select(key, F.lit(0.0).alias("bm25"))
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in idf.items() for x in kv]), F.col("term"))
+    return hits.groupBy(key).agg(F.sum(weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / average))).alias("bm25"))
+
+
 def bm25(df: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bm25): documents with any of the terms, higher is better; very common terms weigh 10^-6."""
+    """(key, bm25) without an index, for tables that are searched once: one pass keeps the counts of the terms of each row."""
     words = X.tokens(F.col(text))
     having = lambda t: F.size(F.filter("words", lambda w: w == F.lit(t)))
     counts = [having(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    tf = df.select(key, words.alias("words")).select(key, F.size("words").alias("dl"), *counts)
+    tf = cut(df.select(key, words.alias("words")).select(key, F.size("words").alias("dl"), *counts))
     stats = tf.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(terms))]).first()
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
@@ -48,6 +75,46 @@ def distances(df: DataFrame, query: list[float], vector: str = "embedding") -> D
     return df.withColumns({"l2": F.sqrt(add(lambda a, b: (a - b) * (a - b))), "cosine": 1 - add(lambda a, b: a * b) / (F.sqrt(add(lambda a, b: a * a)) * norm)})
 
 
+def nearest_of_set(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, within: float | None = None, block: int = 8192, asks: int = 2048) -> DataFrame:
+    """(query_id, key, l2, cosine) of a set of queries against all rows: the k nearest by l2, or all within a cosine distance.
+
+    Rows are dealt to runs of about `block` and queries to blocks of about `asks`; each run meets each block in one task, which gives back
+    k a query at most (or the pairs within), so what is held grows with neither table.
+    """
+    usable = lambda df: df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    a, q = usable(rows), usable(queries)
+    runs, blocks = max(1, -(-a.count() // block)), max(1, -(-q.count() // asks))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = a.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int")).withColumn("part", upto(blocks))
+    asked = q.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("run", upto(runs))
+
+    def meet(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        none = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "l2": pa.array([], pa.float64()), "cosine": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        ids, asks_ = left["id"].to_numpy(), right["id"].to_numpy()
+        v, w = (np.array(t["v"].to_pylist(), float) for t in (left, right))
+        found = []
+        for i in range(len(w)):
+            l2 = np.sqrt(((v - w[i]) ** 2).sum(1))
+            if within is None:
+                keep = np.lexsort((ids, l2))[: k + 1]
+            else:
+                keep = np.flatnonzero(1 - (v @ w[i]) / (np.sqrt((v**2).sum(1)) * np.sqrt((w[i] ** 2).sum())) < within)
+            cosine = 1 - (v[keep] @ w[i]) / (np.sqrt((v[keep] ** 2).sum(1)) * np.sqrt((w[i] ** 2).sum()))
+            found.append((np.full(len(keep), asks_[i]), ids[keep], l2[keep], cosine))
+        return pa.table([np.concatenate([f[j] for f in found]) for j in range(4)], names=["query_id", "id", "l2", "cosine"])
+
+    out = dealt.groupBy("run", "part").cogroup(asked.groupBy("run", "part")).applyInArrow(meet, "query_id long, id long, l2 double, cosine double")
+    out = out.filter("query_id <> id").withColumnRenamed("id", key)
+    if within is None:
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("l2", key))).filter(F.col("rank") <= k)
+    return out
+
+
 def rrf(rankings: list[DataFrame], key: str = "doc_id") -> DataFrame:
     """(key, rrf): sum of 1 / (60 + rank) over ranked lists; ties go by key."""
     both = rankings[0].select(key, "rank")
@@ -69,9 +136,9 @@ def knee_cut(ranked: DataFrame, by: str, keep: int = 3, drop: float = 10.0) -> D
     return ranked.withColumn("cuts", F.sum(F.coalesce(fall.cast("int"), F.lit(0))).over(w)).filter("cuts = 0").drop("cuts")
 
 
-def hybrid(documents: DataFrame, terms: list[str], sources: dict[str, float], k: int = 20) -> DataFrame:
-    """BM25 candidates fused with their shortness rank, reranked by coverage and source weight, two per source."""
-    lexical = top(bm25(documents, terms), "bm25", 4 * k)
+def hybrid(documents: DataFrame, terms: list[str], sources: dict[str, float], k: int = 20, found: DataFrame | None = None) -> DataFrame:
+    """BM25 candidates (of a search over postings, if `found` is given) fused with their shortness rank, reranked by coverage and source weight, two per source."""
+    lexical = top(bm25(documents, terms) if found is None else found, "bm25", 4 * k)
     text = documents.select("doc_id", "source", "text").join(F.broadcast(lexical.select("doc_id", "bm25", "rank")), "doc_id")
     covered = sum((X.contains_term(F.col("text"), t).cast("int") for t in terms), F.lit(0))
     weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sources.items() for x in kv]), F.col("source")), F.lit(0.0))

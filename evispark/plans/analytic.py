@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import curation, operational, policy, retrieval, temporal
+from ..operators import curation, lineage, operational, policy, retrieval, temporal
 from ..streaming import reconcile as streams
 
 QUERIES: dict = {}
@@ -45,27 +45,42 @@ hy AS (SELECT doc_id, source, bm25, covered, score, row_number() OVER (ORDER BY
 _SOURCES = {"src1": 2.0, "src0": -1.0}
 
 
+_INDEX: dict = {}
+
+
+def _found(spark, sf_dir):
+    """BM25 scores of the question, from postings that the first search of a session over a folder writes."""
+    import uuid
+
+    docs = table(spark, sf_dir, "documents")
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _INDEX:
+        _INDEX[known] = retrieval.postings(docs, f"{lineage.shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    folder, n, average = _INDEX[known]
+    return retrieval.search(spark.read.parquet(folder), n, average, TERMS)
+
+
 @query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM bm QUALIFY rank <= 100")
 def bm25_topk(spark, sf_dir):
-    out = retrieval.top(retrieval.bm25(table(spark, sf_dir, "documents"), TERMS), "bm25", 100)
+    out = retrieval.top(_found(spark, sf_dir), "bm25", 100)
     return out.select("doc_id", F.round("bm25", 6).alias("bm25"), "rank")
 
 
 @query(f"WITH {_HYBRID} SELECT doc_id, source, round(bm25, 6) AS bm25, covered, round(score, 6) AS score, rank FROM hy")
 def hybrid_search(spark, sf_dir):
     """The flagship: lexical candidates, reranking, a floor on specific hits, two results a source."""
-    out = retrieval.hybrid(table(spark, sf_dir, "documents"), TERMS, _SOURCES)
+    out = retrieval.hybrid(table(spark, sf_dir, "documents"), TERMS, _SOURCES, found=_found(spark, sf_dir))
     return out.select("doc_id", "source", F.round("bm25", 6).alias("bm25"), "covered", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {_HYBRID} SELECT CASE WHEN r >= 3 AND s >= 30 THEN 'found' WHEN r > 0 THEN 'partial' ELSE 'no_strong_match' END AS verdict, round(least(1.0, s / 40), 6) AS confidence, r AS results FROM (SELECT coalesce(sum(CASE WHEN rank <= 3 THEN score END), 0.0) AS s, count(*) AS r FROM hy)")
 def verdict_confidence(spark, sf_dir):
-    return retrieval.verdict(retrieval.hybrid(table(spark, sf_dir, "documents"), TERMS, _SOURCES))
+    return retrieval.verdict(retrieval.hybrid(table(spark, sf_dir, "documents"), TERMS, _SOURCES, found=_found(spark, sf_dir)))
 
 
 @query(f"WITH {_HYBRID}, cut AS (SELECT *, sum(CASE WHEN fall THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS cuts FROM (SELECT *, coalesce(lag(score) OVER (ORDER BY rank) - score >= 0.5 AND rank > 3, FALSE) AS fall FROM hy)) SELECT doc_id, rank FROM cut WHERE cuts = 0")
 def knee_cut(spark, sf_dir):
-    return retrieval.knee_cut(retrieval.hybrid(table(spark, sf_dir, "documents"), TERMS, _SOURCES), "score", drop=0.5).select("doc_id", "rank")
+    return retrieval.knee_cut(retrieval.hybrid(table(spark, sf_dir, "documents"), TERMS, _SOURCES, found=_found(spark, sf_dir)), "score", drop=0.5).select("doc_id", "rank")
 
 
 def _first_vector(spark, sf_dir):
@@ -76,17 +91,24 @@ def _first_vector(spark, sf_dir):
 _VEC = "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1) o"
 
 
-@query(f"SELECT vec_id, round(list_distance(v, q), 6) AS l2, row_number() OVER (ORDER BY list_distance(v, q), vec_id) AS rank FROM {_VEC} QUALIFY rank <= 50")
+_SET = "(SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0) o JOIN (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings) e ON e.vec_id <> o.query_id"
+
+
+def _asked(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows, rows.filter("vec_id % 20 = 0")
+
+
+@query(f"SELECT query_id, vec_id, round(list_distance(v, q), 6) AS l2, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(v, q), vec_id) AS rank FROM {_SET} QUALIFY rank <= 10")
 def vector_knn_l2(spark, sf_dir):
-    rows, q = _first_vector(spark, sf_dir)
-    out = retrieval.top(retrieval.distances(rows, q).select("vec_id", "l2"), "l2", 50, "vec_id", False)
-    return out.select("vec_id", F.round("l2", 6).alias("l2"), "rank")
+    """The 10 nearest vectors of every vector whose id is divisible by 20."""
+    return retrieval.nearest_of_set(*_asked(spark, sf_dir)).select("query_id", "vec_id", F.round("l2", 6).alias("l2"), "rank")
 
 
-@query(f"SELECT vec_id, round(1 - list_cosine_similarity(v, q), 6) + 0.0 AS cosine FROM {_VEC} WHERE 1 - list_cosine_similarity(v, q) < 0.6")
+@query(f"SELECT query_id, vec_id, round(1 - list_cosine_similarity(v, q), 6) + 0.0 AS cosine FROM {_SET} WHERE 1 - list_cosine_similarity(v, q) < 0.6")
 def vector_within_cosine(spark, sf_dir):
-    rows, q = _first_vector(spark, sf_dir)
-    return retrieval.distances(rows, q).filter("cosine < 0.6").select("vec_id", (F.round("cosine", 6) + 0.0).alias("cosine"))
+    rows, asked = _asked(spark, sf_dir)
+    return retrieval.nearest_of_set(rows, asked, within=0.6).select("query_id", "vec_id", (F.round("cosine", 6) + 0.0).alias("cosine"))
 
 
 @query(f"""WITH {_BM25}, a AS (SELECT doc_id, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM bm QUALIFY rank <= 100),
@@ -94,7 +116,7 @@ b AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY list_distance(v, q),
 SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""")
 def rrf_fusion(spark, sf_dir):
     rows, q = _first_vector(spark, sf_dir)
-    lexical = retrieval.top(retrieval.bm25(table(spark, sf_dir, "documents"), TERMS), "bm25", 100)
+    lexical = retrieval.top(_found(spark, sf_dir), "bm25", 100)
     near = retrieval.top(retrieval.distances(rows, q).select(F.col("vec_id").alias("doc_id"), "l2"), "l2", 100, "doc_id", False)
     return retrieval.rrf([lexical, near]).select("doc_id", F.round("rrf", 9).alias("rrf"))
 
@@ -245,11 +267,9 @@ def ops_reconcile_stream(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, plan):
-    import tempfile
     import uuid
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evispark-stream-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{lineage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
     import os
 
@@ -260,9 +280,10 @@ def _streamed(spark, sf_dir, plan):
     return spark.read.parquet(f"{folder}/out")
 
 
-@query("SELECT user_id, round(least(2.0, greatest(-2.0, sum(value / 100 * pow(0.5, CAST(date_diff('day', CAST(ts AS DATE), DATE '2024-06-01') AS DOUBLE) / 90)))), 6) AS boost FROM events GROUP BY user_id")
+@query("SELECT user_id, round(least(2.0, greatest(-2.0, sum(value / 100 * pow(0.5, greatest(0, CAST(date_diff('day', CAST(ts AS DATE), DATE '2024-01-15') AS DOUBLE)) / 90)))), 6) AS boost FROM events GROUP BY user_id")
 def lineage_decay(spark, sf_dir):
-    age = F.datediff(F.lit("2024-06-01").cast("date"), F.col("ts").cast("date")) / 90.0
+    """Decayed weights of each user; a date in the future counts as today."""
+    age = F.greatest(F.lit(0), F.datediff(F.lit("2024-01-15").cast("date"), F.col("ts").cast("date"))) / 90.0
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.least(F.lit(2.0), F.greatest(F.lit(-2.0), F.sum(F.col("value") / 100 * F.pow(F.lit(0.5), age)))), 6).alias("boost"))
 
 
@@ -285,7 +306,7 @@ def hash_sample(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), n AS (SELECT p_partkey, count(*) AS n FROM t GROUP BY p_partkey),
-c AS (SELECT a.p_partkey AS x, b.p_partkey AS y, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.p_partkey < b.p_partkey WHERE a.w IN (SELECT w FROM t GROUP BY w HAVING count(*) <= 50) GROUP BY 1, 2)
+c AS (SELECT a.p_partkey AS x, b.p_partkey AS y, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.p_partkey < b.p_partkey GROUP BY 1, 2)
 SELECT x, y, round(shared / (a.n + b.n - shared), 6) AS jaccard FROM c JOIN n a ON a.p_partkey = x JOIN n b ON b.p_partkey = y WHERE 2 * shared >= a.n + b.n - shared""")
 def token_jaccard_pairs(spark, sf_dir):
     """All parts whose names share half of their words, however common the words. Pairs are looked for between distinct sets of words;
@@ -354,13 +375,11 @@ def sessions(spark, sf_dir):
     return rows.withColumn("session", F.sum("new").over(w)).groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("started"))
 
 
-@query("""SELECT query_id, hits, round(coalesce(1.0 / first_hit, 0), 6) AS rr FROM (SELECT q.vec_id AS query_id, sum(CASE WHEN rank <= 10 AND e.label = q.label THEN 1 ELSE 0 END) AS hits, min(CASE WHEN e.label = q.label AND rank <= 10 THEN rank END) AS first_hit
-FROM (SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 1) q, (SELECT vec_id, label, row_number() OVER (ORDER BY list_distance(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1)), vec_id) - 1 AS rank FROM embeddings) e WHERE rank > 0 GROUP BY q.vec_id)""")
+@query(f"""WITH r AS (SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY list_distance(v, q), vec_id) AS rank FROM {_SET} QUALIFY rank <= 10), l AS (SELECT vec_id AS query_id, label AS own FROM embeddings)
+SELECT query_id, count(*) FILTER (label = own) AS hits, round(coalesce(1.0 / min(rank) FILTER (label = own), 0), 6) AS rr FROM r JOIN l USING (query_id) GROUP BY query_id""")
 def ir_metrics(spark, sf_dir):
-    """Hits at 10 and reciprocal rank for the first vector: results of its label are relevant."""
-    rows = table(spark, sf_dir, "embeddings")
-    q = rows.orderBy("vec_id").first()
-    top = retrieval.top(retrieval.distances(rows.filter(F.col("vec_id") != q["vec_id"]), q["embedding"]).select("vec_id", "l2", "label"), "l2", 10, "vec_id", False)
-    hit = F.col("label") == q["label"]
-    out = top.agg(F.sum(hit.cast("int")).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"))
-    return out.select(F.lit(q["vec_id"]).alias("query_id"), "hits", F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+    """Hits at 10 and reciprocal rank of every query of the set: results of its label are relevant."""
+    rows, asked = _asked(spark, sf_dir)
+    near = retrieval.nearest_of_set(rows, asked).join(rows.select("vec_id", "label"), "vec_id").join(rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    hit = F.col("label") == F.col("own")
+    return near.groupBy("query_id").agg(F.sum(hit.cast("long")).alias("hits"), F.round(F.coalesce(1.0 / F.min(F.when(hit, F.col("rank"))), F.lit(0.0)), 6).alias("rr"))

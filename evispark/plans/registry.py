@@ -1,8 +1,8 @@
 """All queries of the library by name, and the SQL that checks them."""
 
-from . import analytic, clocks, curation, evaluation, queues, relational
+from . import analytic, clocks, curation, evaluation, queues, relational, texts
 
-_PLANS = (analytic, curation, relational, clocks, evaluation, queues)
+_PLANS = (analytic, curation, relational, clocks, evaluation, queues, texts)
 QUERIES: dict = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 
 #: Sums of integers, which the checking engine widens to 128 bits.

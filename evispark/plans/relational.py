@@ -21,29 +21,25 @@ SQL = {
     "usage_totals": "SELECT role, count(*) AS convs, sum(turns) AS turns, max(chars) AS longest FROM (SELECT role, conv_id, count(*) AS turns, sum(length(text)) AS chars FROM {conversations} GROUP BY role, conv_id) c GROUP BY role",
     "co_mentions": "SELECT a.l_suppkey AS x, b.l_suppkey AS y, count(DISTINCT a.l_orderkey) AS together FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY a.l_suppkey, b.l_suppkey HAVING count(DISTINCT a.l_orderkey) >= 2",
     "route_prior": "SELECT brand, kind, n, round(n / total, 6) AS share FROM (SELECT brand, kind, n, sum(n) OVER (PARTITION BY brand) AS total FROM (SELECT p_brand AS brand, p_type AS kind, count(*) AS n FROM {part} GROUP BY p_brand, p_type) c) s",
-    "coherence_bonus": "SELECT brand, kind, round(least(6, 2 + n * share), 6) AS bonus FROM (SELECT brand, kind, n, n / sum(n) OVER (PARTITION BY brand) AS share FROM (SELECT p_brand AS brand, p_type AS kind, count(*) AS n FROM {part} GROUP BY p_brand, p_type) c) s WHERE n >= 2 AND share >= 0.05",
+    "coherence_bonus": "SELECT brand, kind, round(least(6, 2 + n * share), 6) AS bonus FROM (SELECT brand, kind, n, n / sum(n) OVER (PARTITION BY brand) AS share FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS brand, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE substr(p_brand, 1, 7) END AS kind, count(*) AS n FROM {part} GROUP BY 1, 2) c) s WHERE n >= 2 AND share >= 0.5",
     "audit_bad_rate": "SELECT d.source, count(*) AS audited, sum(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) AS bad, round(sum(CASE WHEN l.quality = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / count(*), 6) AS bad_rate FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source",
     "demotion_breaches": "SELECT source, bad_rate FROM (SELECT d.source, round(sum(CASE WHEN l.quality = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) / count(*), 6) AS bad_rate FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY d.source) r WHERE bad_rate > 0.15",
-    "lexical_document_join": "SELECT d.doc_id, d.source, l.quality, l.toxic FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE d.lang = 'en'",
+    "lexical_document_join": "SELECT d.doc_id, d.source, l.quality, l.toxic FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE lower(d.text) LIKE '%license%' OR lower(d.text) LIKE '%licensed%'",
     "entity_fact_left_join": "SELECT c.c_custkey, count(o.o_orderkey) AS facts, max(o.o_orderdate) AS newest FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey",
     "entity_rollups": "WITH f AS (SELECT l_suppkey, count(*) AS facts FROM {lineitem} GROUP BY l_suppkey), m AS (SELECT l_suppkey, count(DISTINCT l_orderkey) AS orders FROM {lineitem} WHERE l_returnflag = 'R' GROUP BY l_suppkey) SELECT s.s_suppkey, coalesce(f.facts, 0) AS facts, coalesce(m.orders, 0) AS returned FROM {supplier} s LEFT JOIN f ON f.l_suppkey = s.s_suppkey LEFT JOIN m ON m.l_suppkey = s.s_suppkey",
     "latest_success": "SELECT o.o_orderkey, o.o_orderdate, m.newest FROM {orders} o LEFT JOIN (SELECT max(o_orderdate) AS newest FROM {orders} WHERE o_orderstatus = 'F') m ON TRUE WHERE o.o_totalprice > 300000",
-    "events_without_packet": "SELECT e.event_id, e.user_id FROM {events} e LEFT JOIN {customer} c ON c.c_custkey = e.user_id LEFT JOIN {supplier} s ON s.s_suppkey = e.event_id WHERE c.c_custkey IS NULL AND s.s_suppkey IS NULL",
+    "events_without_packet": "SELECT e.event_id, e.user_id FROM {events} e LEFT JOIN (SELECT c_custkey FROM {customer} WHERE c_acctbal > 0) c ON c.c_custkey = e.user_id LEFT JOIN {supplier} s ON s.s_suppkey = e.event_id WHERE c.c_custkey IS NULL AND s.s_suppkey IS NULL",
     "series_suppression": "SELECT user_id, count(*) AS items, min(CASE WHEN value > 90 THEN ts END) AS next_at FROM {events} GROUP BY user_id HAVING sum(CASE WHEN value > 90 THEN 1 ELSE 0 END) > 0",
     "facts_of_document": "SELECT o.o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 49)",
-    "heads_without_execution": "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)",
-    "contested_counterparts": "SELECT a.doc_id, b.doc_id AS counterpart FROM (SELECT doc_id, md5(text) AS g FROM {documents}) a JOIN (SELECT min(doc_id) AS doc_id, md5(text) AS g FROM {documents} GROUP BY md5(text)) b ON a.g = b.g AND a.doc_id <> b.doc_id",
+    "heads_without_execution": "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')",
     "duplicate_memories": "SELECT source, lang, lower(trim(text)) AS content, count(*) AS n FROM {documents} GROUP BY source, lang, lower(trim(text)) HAVING count(*) > 1",
     "keyset_page": "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' OR (o_orderdate = TIMESTAMP '1997-01-01 00:00:00' AND o_orderkey < 1000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50",
     "queue_sort": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderdate, o_orderkey) AS place FROM {orders}",
     "focus_overflow": "SELECT o_custkey, o_orderkey, CASE WHEN place <= 5 THEN 'focus' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'overflow' ELSE 'rest' END AS section FROM (SELECT o_custkey, o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM {orders}) r",
     "first_section": "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'done' WHEN value > 80 THEN 'hot' WHEN value > 40 THEN 'warm' ELSE 'other' END AS section FROM {events}",
-    "numbered_merges": "SELECT o_orderkey, o_custkey, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS change FROM {orders}",
     "best_route_top1": "SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS k FROM {part}) r WHERE k = 1",
     "union_distinct": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey AS k FROM {supplier}",
-    "stale_ids": "SELECT vec_id AS id FROM {embeddings} EXCEPT SELECT doc_id AS id FROM {documents}",
     "shared_ids": "SELECT vec_id AS id FROM {embeddings} INTERSECT SELECT doc_id AS id FROM {documents}",
-    "mirror_diff": "SELECT a.doc_id FROM {documents} a JOIN {labels} l ON l.doc_id = a.doc_id WHERE l.toxic = 1 AND l.quality = 1",
     "label_metrics": "SELECT count(*) AS labelled, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS kept, round(avg(CASE WHEN quality = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS keep_rate, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS clean_rate FROM {labels}",
     "cohort_breakdown": "SELECT d.lang, count(*) AS n, round(avg(CAST(l.quality AS DOUBLE)), 6) AS quality, round(avg(CAST(l.toxic AS DOUBLE)), 6) AS toxic FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.lang",
     "quota_validation": "SELECT lang, count(*) AS n, count(*) >= 100 AS met FROM {documents} GROUP BY lang",
@@ -52,9 +48,6 @@ SQL = {
     "storage_stats": "SELECT lang, count(*) AS docs, sum(n_chars) AS chars, max(doc_id) AS last_doc FROM {documents} GROUP BY lang",
     "supplier_revenue": "SELECT s_nationkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY s_nationkey",
     "wilson_interval": "SELECT lang, n, p, round((p + z * z / (2 * n) - z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt((p * (1 - p) + z * z / (4 * n)) / n)) / (1 + z * z / n), 6) AS high FROM (SELECT d.lang, CAST(count(*) AS DOUBLE) AS n, round(avg(CAST(l.quality AS DOUBLE)), 9) AS p, CAST(1.959963984540054 AS DOUBLE) AS z FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.lang) s",
-    "calibration_error": "SELECT round(sum(abs(hit - conf) * n) / sum(n), 6) AS ece FROM (SELECT least(floor(c * 5), 4) AS bin, count(*) AS n, avg(y) AS hit, avg(c) AS conf FROM (SELECT CAST(quality AS DOUBLE) AS y, (doc_id % 100) / 99.0 AS c FROM {labels}) x GROUP BY least(floor(c * 5), 4)) b",
-    "consensus_vote": "SELECT doc_id, CASE WHEN votes = 3 THEN 'supported' WHEN votes = 2 THEN 'uncertain' ELSE 'unsupported' END AS outcome FROM (SELECT doc_id, quality + (CASE WHEN toxic = 0 THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) AS votes FROM {labels}) v",
-    "rater_agreement": "SELECT count(*) AS n, round(avg(CASE WHEN quality = 1 - toxic THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS agreement FROM {labels}",
     "nearest_rank": "SELECT lang, max(CASE WHEN k = ceil(0.5 * n) THEN n_chars END) AS p50, max(CASE WHEN k = ceil(0.9 * n) THEN n_chars END) AS p90, max(CASE WHEN k = ceil(0.99 * n) THEN n_chars END) AS p99 FROM (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS k, count(*) OVER (PARTITION BY lang) AS n FROM {documents}) r GROUP BY lang",
     "interval_collapse": "SELECT o_custkey, s, e FROM (SELECT o_custkey, o_orderkey, s, e, max(e) OVER (PARTITION BY o_custkey ORDER BY s, e DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) AS s, CAST(floor(o_totalprice / 100) AS BIGINT) + o_orderkey % 97 AS e FROM {orders}) i) r WHERE reach IS NULL OR e > reach",
 }

@@ -11,15 +11,17 @@ OUT = "user_id long, event_id long, source_order long, decision string"
 
 
 def _fold(key, frames, state):
+    """One micro-batch of an item, frame by frame: what is held is one frame, sorted by arrival, and the highest order so far."""
     top = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("event_id")
-    decisions = []
-    for o in rows["source_order"]:
-        o = -(1 << 60) if pd.isna(o) else int(o)
-        decisions.append("created" if top is None else "stale_ignored" if o <= top else "updated")
-        top = o if top is None else max(top, o)
+    for rows in frames:
+        rows = rows.sort_values("event_id")
+        order = rows["source_order"].fillna(-(1 << 60)).astype("int64")
+        before = order.cummax().shift(fill_value=-(1 << 62)).clip(lower=top if top is not None else -(1 << 62))
+        first = before == -(1 << 62)
+        decision = pd.Series("updated", rows.index).mask(order <= before, "stale_ignored").mask(first, "created")
+        top = max(int(order.max()), top if top is not None else -(1 << 62)) if len(order) else top
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "source_order": rows["source_order"].astype("Int64"), "decision": decision})
     state.update((top,))
-    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "source_order": rows["source_order"].astype("Int64"), "decision": decisions})
 
 
 def reconcile(stream: DataFrame) -> DataFrame:
