@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -54,10 +55,15 @@ def _found(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     known = (spark.sparkContext.applicationId, sf_dir)
-    if known not in _INDEX:
-        _INDEX[known] = retrieval.postings(docs, f"{lineage.shared_folder(spark)}/postings-{uuid.uuid4().hex}")
-    folder, n, average = _INDEX[known]
-    return retrieval.search(spark.read.parquet(folder), n, average, TERMS)
+    for _ in range(2):
+        if known not in _INDEX:
+            _INDEX[known] = retrieval.postings(docs, f"{lineage.shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+        folder, n, average = _INDEX[known]
+        try:
+            return retrieval.search(spark.read.parquet(folder), n, average, TERMS)
+        except AnalysisException:  # somebody has cleared the folder
+            del _INDEX[known]
+    raise RuntimeError("postings can't be read")
 
 
 @query(f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25, row_number() OVER (ORDER BY bm25 DESC, doc_id) AS rank FROM bm QUALIFY rank <= 100")
