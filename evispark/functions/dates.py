@@ -11,37 +11,43 @@ POINT = r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?([Zz]|[+-]\d{2}
 _TICK = "interval 1 microsecond"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where the value is worked out once however often `use` names it; the optimizer copies no expression into a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def optional(text: Column) -> Column:
     """The trimmed text; null where nothing is left."""
-    bare = F.btrim(text.cast("string"), F.lit(" \t\n\r\f"))
-    return F.when(bare != "", bare)
+    return let(F.btrim(text.cast("string"), F.lit(" \t\n\r\f")), lambda bare: F.when(bare != "", bare))
 
 
 def precision(text: Column) -> Column:
     """year, month, day or exact, by the form of the text; unknown without one."""
-    t = optional(text)
-    return F.when(t.isNull(), "unknown").when(t.rlike(YEAR), "year").when(t.rlike(MONTH), "month").when(t.rlike(DAY), "day").otherwise("exact")
+    return let(optional(text), lambda t: F.when(t.isNull(), "unknown").when(t.rlike(YEAR), "year").when(t.rlike(MONTH), "month").when(t.rlike(DAY), "day").otherwise("exact"))
 
 
 def end_of(start: Column, kind: Column) -> Column:
     """The first instant after a year, month, day or (anything else) microsecond that begins at `start`."""
-    year = F.make_timestamp(F.year(start) + 1, F.lit(1), F.lit(1), F.hour(start), F.minute(start), F.extract(F.lit("SECOND"), start))
-    month = F.add_months(F.trunc(start, "month"), 1)
-    month = F.make_timestamp(F.year(month), F.month(month), F.lit(1), F.hour(start), F.minute(start), F.extract(F.lit("SECOND"), start))
-    return F.when(kind == "year", year).when(kind == "month", month).when(kind == "day", start + F.expr("interval 1 day")).otherwise(start + F.expr(_TICK))
+
+    def after(x):
+        s, k = x["s"], x["k"]
+        clock = F.hour(s), F.minute(s), F.extract(F.lit("SECOND"), s)
+        month = let(F.add_months(F.trunc(s, "month"), 1), lambda m: F.make_timestamp(F.year(m), F.month(m), F.lit(1), *clock))
+        return F.when(k == "year", F.make_timestamp(F.year(s) + 1, F.lit(1), F.lit(1), *clock)).when(k == "month", month).when(k == "day", s + F.expr("interval 1 day")).otherwise(s + F.expr(_TICK))
+
+    return let(F.struct(start.alias("s"), kind.alias("k")), after)
 
 
 def starts(text: Column) -> Column:
     """The first instant of a partial date or the point of a text with an offset; null for other texts (also points without one)."""
-    t, p = optional(text), precision(text)
-    whole = F.when(p == "year", F.concat(t, F.lit("-01-01"))).when(p == "month", F.concat(t, F.lit("-01"))).when(p == "day", t).when(t.rlike(POINT), t)
-    return whole.try_cast("timestamp")
+    whole = lambda t: F.when(t.rlike(YEAR), F.concat(t, F.lit("-01-01"))).when(t.rlike(MONTH), F.concat(t, F.lit("-01"))).when(t.rlike(DAY) | t.rlike(POINT), t)
+    return let(optional(text), lambda t: whole(t).try_cast("timestamp"))
 
 
 def ends(text: Column) -> Column:
     """The last microsecond of a partial date; a point is its own end."""
-    p = precision(text)
-    return F.when(p == "exact", starts(text)).otherwise(end_of(starts(text), p) - F.expr(_TICK))
+    dated = F.struct(precision(text).alias("p"), starts(text).alias("s"))
+    return let(dated, lambda d: F.when(d["p"] == "exact", d["s"]).otherwise(end_of(d["s"], d["p"]) - F.expr(_TICK)))
 
 
 def iso(stamp: Column) -> Column:

@@ -36,75 +36,87 @@ def stated_precision() -> Column:
 
 
 def _instant_end(start: Column) -> Column:
-    stated = stated_precision()
-    return D.end_of(start, F.when(stated.isin("approximate", "unknown"), D.precision(F.col("valid_from"))).otherwise(stated))
+    kind = D.let(stated_precision(), lambda p: F.when(p.isin("approximate", "unknown"), D.precision(F.col("valid_from"))).otherwise(p))
+    return D.end_of(start, kind)
 
 
-def _bounds() -> tuple[Column, Column, Column]:
-    """(start, end, whether a bound is given that is no date)"""
-    start, end = D.starts(F.col("valid_from")), D.starts(F.col("valid_to"))
-    bad = (D.optional(F.col("valid_from")).isNotNull() & start.isNull()) | (D.optional(F.col("valid_to")).isNotNull() & end.isNull())
-    return start, end, bad
+def _bounds() -> Column:
+    """A fact's kind, its bounds as given and as read: (kind, from, to, start, end, whether a bound is given that is no date)."""
+    given = F.struct(D.optional(F.col("valid_from")).alias("from"), D.optional(F.col("valid_to")).alias("to"), D.starts(F.col("valid_from")).alias("start"), D.starts(F.col("valid_to")).alias("end"), _kind().alias("kind"))
+    return D.let(given, lambda g: g.withField("bad", (g["from"].isNotNull() & g["start"].isNull()) | (g["to"].isNotNull() & g["end"].isNull())))
 
 
 def interval() -> tuple[Column, Column]:
     """(start, end) of facts of a kind that has them; an ongoing fact's end is null, and so is the start of a fact without an interval."""
-    start, end, _ = _bounds()
-    kind = _kind()
-    has = start.isNotNull() & (kind.isin("instantaneous", "ongoing") | ((kind == "time_bound") & end.isNotNull()))
-    return F.when(has, start), F.when(has & (kind == "instantaneous"), D.end_of(start, stated_precision())).when(has & (kind == "time_bound"), end)
+    has = lambda b: b["start"].isNotNull() & (b["kind"].isin("instantaneous", "ongoing") | ((b["kind"] == "time_bound") & b["end"].isNotNull()))
+    end = lambda b: F.when(has(b) & (b["kind"] == "instantaneous"), D.end_of(b["start"], stated_precision())).when(has(b) & (b["kind"] == "time_bound"), b["end"])
+    return D.let(_bounds(), lambda b: F.when(has(b), b["start"])), D.let(_bounds(), end)
 
 
 def valid_at(point: Column, knowledge_scoped: bool = False) -> Column:
     """Whether the half-open valid interval holds the point. With a knowledge clock beside it, what was superseded later counts."""
-    start, end, bad = _bounds()
-    status = effective_status() if knowledge_scoped else F.coalesce("status", F.lit(""))
-    scoped, kind = F.lit(knowledge_scoped), F.lower(F.coalesce("temporal_kind", F.lit("unknown")))
-    unbounded = D.optional(F.col("valid_from")).isNull() & D.optional(F.col("valid_to")).isNull()
-    inside = (point >= start) & (end.isNull() | (point < end)) & ~((status == "superseded") & end.isNull() & ~scoped)
-    by_kind = (
-        F.when(kind == "atemporal", unbounded & (scoped | status.isin("active", "conflicted")))
-        .when(kind == "instantaneous", start.isNotNull() & end.isNull() & (point >= start) & (point < _instant_end(start)))
-        .when(kind == "time_bound", start.isNotNull() & end.isNotNull() & inside)
-        .when(kind == "ongoing", start.isNotNull() & end.isNull() & inside)
-        .otherwise(F.lit(False))
-    )
-    return F.coalesce(point.isNotNull() & status.isin(REVIEWED) & ~bad & by_kind, F.lit(False))
+    state = effective_status() if knowledge_scoped else F.coalesce("status", F.lit(""))
+    scoped = F.lit(knowledge_scoped)
+
+    def holds(r):
+        b, status, at = r["b"], r["status"], r["at"]
+        kind, start, end = F.lower(F.coalesce("temporal_kind", F.lit("unknown"))), b["start"], b["end"]
+        inside = (at >= start) & (end.isNull() | (at < end)) & ~((status == "superseded") & end.isNull() & ~scoped)
+        by_kind = (
+            F.when(kind == "atemporal", b["from"].isNull() & b["to"].isNull() & (scoped | status.isin("active", "conflicted")))
+            .when(kind == "instantaneous", start.isNotNull() & end.isNull() & (at >= start) & (at < _instant_end(start)))
+            .when(kind == "time_bound", start.isNotNull() & end.isNotNull() & inside)
+            .when(kind == "ongoing", start.isNotNull() & end.isNull() & inside)
+            .otherwise(F.lit(False))
+        )
+        return F.coalesce(at.isNotNull() & status.isin(REVIEWED) & ~b["bad"] & by_kind, F.lit(False))
+
+    return D.let(F.struct(_bounds().alias("b"), state.alias("status"), point.alias("at")), holds)
 
 
 def known_at(point: Column) -> Column:
     """Whether the fact was recorded by then and not yet closed."""
-    status = effective_status()
-    created, until = D.starts(F.col("created_at")), D.starts(F.col("knowledge_to"))
-    closed = D.optional(F.col("knowledge_to"))
-    ok = ((status == "") | status.isin(REVIEWED)) & (closed.isNull() | until.isNotNull()) & (created <= point) & (until.isNull() | (point < until))
-    return F.coalesce(ok, F.lit(False))
+    dated = F.struct(effective_status().alias("status"), D.starts(F.col("created_at")).alias("created"), D.starts(F.col("knowledge_to")).alias("until"), point.alias("at"))
+
+    def holds(r):
+        ok = ((r["status"] == "") | r["status"].isin(REVIEWED)) & (D.optional(F.col("knowledge_to")).isNull() | r["until"].isNotNull())
+        return F.coalesce(ok & (r["created"] <= r["at"]) & (r["until"].isNull() | (r["at"] < r["until"])), F.lit(False))
+
+    return D.let(dated, holds)
 
 
 def happens_in(value: Column, kind: Column | None = None) -> Column:
     """Whether the fact's event overlaps the interval of a date given as text, and is of the kind asked for."""
-    first, last = D.starts(F.col("event_start")), D.starts(F.col("event_end"))
-    bad = (D.optional(F.col("event_start")).isNotNull() & first.isNull()) | (D.optional(F.col("event_end")).isNotNull() & last.isNull())
-    begin = F.coalesce(first, last)
-    end = F.when(first.isNull(), D.end_of(last, F.col("event_precision"))).otherwise(F.coalesce(last, D.end_of(first, F.col("event_precision"))))
     asked = F.lower(F.trim(F.coalesce(kind if kind is not None else F.lit(""), F.lit(""))))
     wanted = (asked == "") | (asked.isin(EVENT_KINDS) & (asked == F.col("event_kind")))
-    upto = D.ends(value) + F.expr("interval 1 microsecond")
-    ok = F.col("event_kind").isin(EVENT_KINDS) & F.col("event_precision").isin(EVENT_PRECISIONS) & wanted & ~bad & ~((first.isNotNull() & last.isNotNull()) & (last <= first))
-    return F.coalesce(ok & (begin < upto) & (D.starts(value) < end), F.lit(False))
+    dated = F.struct(D.starts(F.col("event_start")).alias("first"), D.starts(F.col("event_end")).alias("last"), D.starts(value).alias("since"), (D.ends(value) + F.expr("interval 1 microsecond")).alias("upto"))
+
+    def overlaps(r):
+        first, last = r["first"], r["last"]
+        bad = (D.optional(F.col("event_start")).isNotNull() & first.isNull()) | (D.optional(F.col("event_end")).isNotNull() & last.isNull())
+        end = F.when(first.isNull(), D.end_of(last, F.col("event_precision"))).otherwise(F.coalesce(last, D.end_of(first, F.col("event_precision"))))
+        ok = F.col("event_kind").isin(EVENT_KINDS) & F.col("event_precision").isin(EVENT_PRECISIONS) & wanted & ~bad & ~((first.isNotNull() & last.isNotNull()) & (last <= first))
+        return F.coalesce(ok & (F.coalesce(first, last) < r["upto"]) & (r["since"] < end), F.lit(False))
+
+    return D.let(dated, overlaps)
 
 
 def currentness(point: Column) -> Column:
     """One of thirteen labels, the first that fits."""
-    start, end, bad = _bounds()
-    status, kind = F.lower(F.trim(F.coalesce("status", F.lit("active")))), _kind()
-    upto = F.when((kind == "instantaneous") & start.isNotNull(), _instant_end(start)).otherwise(end)
-    return (
-        F.when(status == "superseded", "superseded").when(~status.isin("active", "conflicted"), "unreviewed").when(point.isNull(), "invalid_current_time").when(~kind.isin(KINDS), "invalid_temporal_kind")
-        .when(kind == "atemporal", "atemporal").when((kind == "unknown") & F.col("temporal_confidence").isNull(), "legacy_unknown").when(kind == "unknown", "unknown_valid_time").when(bad, "invalid_valid_time")
-        .when((kind == "ongoing") & start.isNull() & end.isNull(), "ongoing_unknown_start").when((kind == "time_bound") & (start.isNull() | end.isNull()), "unknown_bounds").when((kind == "ongoing") & end.isNotNull(), "invalid_valid_time")
-        .when(start.isNull(), "unknown_bounds").when(upto <= start, "invalid_valid_time").when(point < start, "future").when(point >= upto, "historical").otherwise("current")
-    )
+    read = F.struct(_bounds().alias("b"), F.lower(F.trim(F.coalesce("status", F.lit("active")))).alias("status"), point.alias("at"))
+
+    def label(r):
+        b, status, at = r["b"], r["status"], r["at"]
+        kind, start, end = b["kind"], b["start"], b["end"]
+        dated = lambda upto: F.when(upto <= start, "invalid_valid_time").when(at < start, "future").when(at >= upto, "historical").otherwise("current")
+        return (
+            F.when(status == "superseded", "superseded").when(~status.isin("active", "conflicted"), "unreviewed").when(at.isNull(), "invalid_current_time").when(~kind.isin(KINDS), "invalid_temporal_kind")
+            .when(kind == "atemporal", "atemporal").when((kind == "unknown") & F.col("temporal_confidence").isNull(), "legacy_unknown").when(kind == "unknown", "unknown_valid_time").when(b["bad"], "invalid_valid_time")
+            .when((kind == "ongoing") & start.isNull() & end.isNull(), "ongoing_unknown_start").when((kind == "time_bound") & (start.isNull() | end.isNull()), "unknown_bounds").when((kind == "ongoing") & end.isNotNull(), "invalid_valid_time")
+            .when(start.isNull(), "unknown_bounds").otherwise(D.let(F.when(kind == "instantaneous", _instant_end(start)).otherwise(end), dated))
+        )
+
+    return D.let(read, label)
 
 
 def is_current(point: Column) -> Column:
@@ -147,10 +159,8 @@ def requested(mode: str, valid: str | None = None, known: str | None = None, eve
 
 def timeline_order() -> list[Column]:
     """By the start of validity, else of the event; rows without a date come last, then end, recording and id."""
-    start, end, _ = _bounds()
-    dated = start.isNotNull()
-    first = F.when(dated, start).otherwise(D.starts(F.coalesce(D.optional(F.col("event_start")), D.optional(F.col("event_end")))))
-    last = F.when(dated, end).otherwise(D.starts(F.col("event_end")))
+    first = D.let(D.starts(F.col("valid_from")), lambda s: F.when(s.isNotNull(), s).otherwise(D.starts(F.coalesce(D.optional(F.col("event_start")), D.optional(F.col("event_end"))))))
+    last = F.when(D.starts(F.col("valid_from")).isNotNull(), D.starts(F.col("valid_to"))).otherwise(D.starts(F.col("event_end")))
     return [first.asc_nulls_last(), last.asc_nulls_last(), D.starts(F.col("created_at")).asc_nulls_last(), F.col("id").cast("string").asc()]
 
 
