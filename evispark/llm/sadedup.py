@@ -289,11 +289,21 @@ def _shared(key, table):
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([b] * len(out), pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary())})
 
 
+def _joined(begin: np.ndarray, end: np.ndarray) -> bytes:
+    """Runs of bytes; those that overlap or touch become one."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.concatenate([[True], begin[1:] > end[:-1]])
+    begin, end = begin[new], end[np.concatenate([new[1:], [True]])]
+    return _pack(begin=begin.astype(np.uint32), size=(end - begin).astype(np.uint32))
+
+
 def _contexts(length: int, buckets: int):
-    """Of one block: the text around each shared anchor, by bucket; equal texts of the block once, with all their places."""
+    """Of one block: the text around each shared anchor, by bucket; equal texts of the block once, with the places in the document
+    of the smallest id. The other places of the text are decided here: their runs go on under a number below 0 of their own."""
 
     def run(key, blocks, shared):
-        found = []
+        found, begin, end = [], [], []
         if shared.num_rows:
             block, powers = _Block(blocks.to_pylist()[0]), Powers()
             h, doc, start, count = block.all_anchors(length, powers)
@@ -309,8 +319,16 @@ def _contexts(length: int, buckets: int):
                 ends = np.cumsum(size).tolist()
                 seen: dict[bytes, int] = {}
                 which = np.array([seen.setdefault(text[e - s : e], len(seen)) for s, e in zip(size.tolist(), ends)], np.int64)
-                texts = list(seen)
-                found.append((r["bucket"], _pack(text=np.frombuffer(b"".join(texts), np.uint8), size=np.array([len(x) for x in texts], np.uint32), which=which.astype(np.uint32), ids=block.ids[doc[own]], start=start[own].astype(np.uint32))))
+                texts, who = list(seen), block.ids[doc[own]]
+                least = np.full(len(texts), np.iinfo(np.int64).max)
+                np.minimum.at(least, which, who)
+                ask = who == least[which]
+                begin.append(start[own][~ask])
+                end.append(begin[-1] + size[~ask])
+                found.append((r["bucket"], _pack(text=np.frombuffer(b"".join(texts), np.uint8), size=np.array([len(x) for x in texts], np.uint32), which=which[ask].astype(np.uint32), ids=who[ask], start=start[own][ask].astype(np.uint32))))
+            begin, end = np.concatenate(begin), np.concatenate(end)
+            if len(begin):
+                found.append((-1 - key[0].as_py(), _joined(begin, end)))
         return pa.table({"bucket": pa.array([x[0] for x in found], pa.int64()), "block": pa.array([key[0].as_py()] * len(found), pa.int64()), "packed": pa.array([x[1] for x in found], pa.binary())})
 
     return run
@@ -321,6 +339,8 @@ def _repeats(length: int):
     with a smaller id has too."""
 
     def run(key, table):
+        if key[0].as_py() < 0:  # runs that a block knows already
+            return table.select(["block", "packed"])
         rows = table.select(["block", "packed"]).to_pylist()
         seen: dict[bytes, int] = {}
         places = []
@@ -416,12 +436,13 @@ def remove_repeats(df: DataFrame, length: int = 50, with_text: bool = False, doc
     1. Each string has an anchor, the gram in it with the smallest hash. Blocks of text send their anchors' fingerprints
        to buckets, and each bucket tells the blocks which of their anchors occur in two documents. Fingerprints only
        choose places to look at: a false match costs time, and equal strings can't be missed.
-    2. Blocks send the text around shared anchors to the anchor's bucket, equal texts once.
+    2. Blocks send the text around shared anchors to the anchor's bucket, equal texts once and with the smallest id alone: the
+       block's other rows of that text lose it in any case.
     3. Each bucket sorts the suffixes of its distinct texts in two stages and compares neighbours: suffixes with a common
        prefix of `length` bytes form a group, whose smallest id tells which rows lose these bytes.
     4. Blocks join the runs of bytes to remove.
     The number of buckets follows the text's bytes, so what a task holds does not; an anchor that a third of all rows has meets as one
-    distinct text per block, with its places.
+    distinct text per block, with one id.
 
     A null or empty text has nothing removed (the sha256 of no bytes). Strings repeated only in one row, or in rows of the same
     id, stay. A row whose id is null keeps all and takes no part. An empty table gives an empty result; columns named by
