@@ -21,6 +21,8 @@ SKETCH_MOST, SKETCH_LEAST_SET = 38, 1024
 STAR = 256
 #: Members of a bucket that are compared in one task, as shingles, each member counting MEMBER more.
 BLOCK, MEMBER = 1 << 19, 512
+#: Edges that one task of the components' steps has on average; so many tasks at least.
+TASK_EDGES, LEAST_TASKS = 1 << 16, 8
 #: Shingles that more members of a block share are counted by matrix products, the others pair by pair.
 OFTEN, COLUMNS = 32, 2048
 
@@ -259,21 +261,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root): the smallest id that each id of `edges` (a, b) can reach, by large-star and small-star steps.
 
     Every step is an aggregate and a join on ids; stars only shrink towards their smallest id, and the steps end when
-    nothing changes. The driver sees two numbers a step.
+    nothing changes. The driver sees two numbers a step. Edges go on in as many tasks as their number asks for, as each task of
+    each step leaves files.
     """
+    few = lambda x: x.coalesce(max(LEAST_TASKS, -(-size // TASK_EDGES)))
     e = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct())
-    before = None
+    before, size = None, e.count()
     for _ in range(rounds):
+        e = few(e)
         both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-        e = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u"))  # as many as before; the round's end drops repeats
+        e = few(both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")))  # as many as before; the round's end drops repeats
         least = e.groupBy("v").agg(F.min("u").alias("m"))
-        small = e.join(least, "v")
-        e = cut(small.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).filter("u < v").distinct())
+        small = few(e.join(least, "v"))
+        e = cut(few(small.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(few(least).select("v", F.col("m").alias("u"))).filter("u < v").distinct()))
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("v", "u").cast("decimal(38,0)"))).first())
         if now == before:
             return e.groupBy("v").agg(F.min("u").alias("root")).withColumnRenamed("v", "id")
-        before = now
+        before, size = now, now[0]
     raise RuntimeError("components did not settle")
 
 
