@@ -208,12 +208,35 @@ def _overlaps(sets: list[np.ndarray], some: np.ndarray) -> np.ndarray:
     return out
 
 
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges a[i], b[i] between n nodes keep all that they join joined, as few as can be, the first ones: in each round every tree
+    takes the first edge that leaves it."""
+    tree, left, taken = np.arange(n), np.arange(len(a)), [np.empty(0, np.int64)]
+    while True:
+        left = left[tree[a[left]] != tree[b[left]]]
+        if not len(left):
+            return np.sort(np.concatenate(taken))
+        first, up = np.full(n, len(a)), np.arange(n)
+        for x in (a, b):
+            np.minimum.at(first, tree[x[left]], left)
+        from_ = np.flatnonzero(first < len(a))
+        first = first[from_]
+        taken.append(np.unique(first))
+        up[from_] = tree[a[first]] + tree[b[first]] - from_
+        ends = (up[up] == np.arange(n)) & (np.arange(n) < up)
+        up[ends] = np.flatnonzero(ends)
+        while (up[up] != up).any():
+            up = up[up]
+        tree = up[tree]
+
+
 def _block_links(width: int, threshold: int):
-    """Of the members of one block, a link for each two groups that have any; full sets are compared, each with each."""
+    """Full sets of the members of one block are compared, each with each. Of the groups that have a link, as many pairs of roots as join
+    them: in a block of n groups under n, not each two of them."""
 
     def run(table: pa.Table) -> pa.Table:
         powers, unzip = Powers(), zstandard.ZstdDecompressor()
-        ids, (_, root) = table.column("row").to_numpy(), np.unique(table.column("root").to_numpy(), return_inverse=True)
+        ids, root = np.unique(table.column("root").to_numpy(), return_inverse=True)
         some = np.flatnonzero(root != np.bincount(root).argmax())
         a = b = np.empty(0, np.int64)
         if len(some):
@@ -223,9 +246,9 @@ def _block_links(width: int, threshold: int):
                 sets += shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width, powers)
             n, shared = np.array([len(s) for s in sets]), _overlaps(sets, some)
             x, y = np.nonzero((100 * shared >= threshold * (n[some][:, None] + n - shared)) & (root[some][:, None] != root))
-            x = some[x]
-            groups = np.minimum(root[x], root[y]) * len(ids) + np.maximum(root[x], root[y])
-            one = np.unique(groups, return_index=True)[1]
+            x, y = root[some[x]], root[y]
+            x, y = np.divmod(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)), len(ids))
+            one = _forest(x, y, len(ids))
             a, b = ids[x[one]], ids[y[one]]
         return pa.table({"a": a, "b": b})
 
@@ -233,7 +256,8 @@ def _block_links(width: int, threshold: int):
 
 
 def links_inside(met: DataFrame, root: DataFrame, feats: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Links (a, b) between different groups of `root` (id, root): all pairs that share a bucket of `met` (key, row, size) are compared.
+    """Pairs (a, b) of roots whose groups of `root` (id, root) have links, enough to join all groups that links join: all pairs that share a
+    bucket of `met` (key, row, size) are compared.
 
     A bucket's members outside its largest group are cut into blocks, and so are the members in it; the first meet each other and the
     second, block by block, so members of one group alone never meet and a task has two blocks, however large a bucket is.

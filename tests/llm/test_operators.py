@@ -158,6 +158,31 @@ def test_bands_follow_the_threshold():
     assert neardup.band_rows(85) == 8
 
 
+def test_a_block_gives_as_many_links_as_join_its_groups():
+    import pyarrow as pa
+    import zstandard
+
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words + [f"end{k}"]) for k in range(40)] + [" ".join(f"{c}{k}" for k in range(50)) for c in "xy"]
+    ids = [7 * k + 3 for k in range(len(texts))]
+    block = pa.table({"row": ids, "root": ids, "packed": [zstandard.compress(x.encode()) for x in texts]})
+    got = neardup._block_links(3, 85)(block)
+    assert len(got) == 39 and {x for c in "ab" for x in got[c].to_pylist()} == set(ids[:40])
+    r = np.random.default_rng(2)
+    for n, m in ((1, 0), (9, 40), (60, 50), (300, 5000)):
+        a, b = r.integers(0, n, (2, m))
+        kept = neardup._forest(a, b, n)
+        find = lambda x, y: [min(z for z in range(n) if c[z] == c[k]) for c in [_joined(x, y, n)] for k in range(n)]
+        assert find(a, b) == find(a[kept], b[kept]) and len(kept) == n - len(set(_joined(a, b, n)))
+
+
+def _joined(a, b, n):
+    c = list(range(n))
+    for x, y in zip(a, b):
+        c = [c[x] if z == c[y] else z for z in c]
+    return c
+
+
 def test_links_inside_a_family_just_under_the_threshold(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 1 << 17)  # several blocks a bucket
     base = " ".join(f"t{i}" for i in range(185))  # 183 of 200 shingles: 0.843; with the next two words 185: 0.860
