@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Members of a block, and pairs of members that a task makes, about.
+BLOCK, TASK_PAIRS = 256, 1 << 24
+
 
 def last_writes(state: DataFrame, log: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
     """`state` after a log of writes (key, order, fields): in each field the last value that is not null holds. The fold is one
@@ -139,3 +144,23 @@ def similar_sets(sets: DataFrame, words: str, threshold: int) -> DataFrame:
     shared = both.filter(fit).select("a", "b").distinct().withColumn("shared", F.size(F.array_intersect("a", "b")))
     union = F.size("a") + F.size("b") - F.col("shared")
     return shared.filter(100 * F.col("shared") >= threshold * union).select("a", "b", (F.col("shared") / union).alias("jaccard"))
+
+
+def member_pairs(pairs: DataFrame, groups: DataFrame, members: DataFrame, group: str, key: str) -> DataFrame:
+    """(x, y, ...): the members x < y of the groups a and b of each row of `pairs`, with its other columns; a group paired with itself gives
+    each two of its members once. Keys are distinct and not null; `groups` has each group once, with its number of members (n). Blocks of
+    about BLOCK members meet, by number, and rows are made from two arrays at the end, so a large group is spread over tasks."""
+    rest = [c for c in pairs.columns if c not in ("a", "b")]
+    size = lambda c: groups.select(F.col(group).alias(c), F.col("n").alias(f"n_{c}"), F.ceil(F.col("n") / BLOCK).alias(f"blocks_{c}"))
+    sized = cut(pairs.join(size("a"), "a").join(size("b"), "b"))
+    made = sized.agg(F.sum(F.col("n_a").cast("double") * F.col("n_b"))).first()[0] or 0
+    tasks = max(int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(made / TASK_PAIRS))
+    block = lambda c, i, keys: (
+        members.select(F.col(group).alias(c), key).join(size(c), c).groupBy(c, F.pmod(F.xxhash64(key), F.col(f"blocks_{c}")).alias(i)).agg(F.collect_list(key).alias(keys))
+    )
+    left = sized.join(block("a", "i", "p"), "a").withColumn("one", F.col("a") == F.col("b"))
+    left = left.withColumn("j", F.explode(F.sequence(F.when(F.col("one"), F.col("i")).otherwise(F.lit(0)), F.col("blocks_b") - 1)))
+    left = left.select("b", "j", (F.col("one") & (F.col("i") == F.col("j"))).alias("one"), "p", *rest).repartition(tasks, "b", "j")
+    both = left.join(block("b", "j", "q").repartition(tasks, "b", "j"), ["b", "j"]).select("p", "q", "one", *rest)
+    both = both.withColumn("p", F.explode("p")).withColumn("q", F.explode("q"))
+    return both.filter(~F.col("one") | (F.col("p") < F.col("q"))).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), *rest)

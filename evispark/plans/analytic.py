@@ -315,16 +315,14 @@ def hash_sample(spark, sf_dir):
 c AS (SELECT a.p_partkey AS x, b.p_partkey AS y, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.p_partkey < b.p_partkey GROUP BY 1, 2)
 SELECT x, y, round(shared / (a.n + b.n - shared), 6) AS jaccard FROM c JOIN n a ON a.p_partkey = x JOIN n b ON b.p_partkey = y WHERE 2 * shared >= a.n + b.n - shared""")
 def token_jaccard_pairs(spark, sf_dir):
-    """All parts whose names share half of their words, however common the words. Pairs are looked for between distinct sets of words;
-    the parts of a set are put in at the end, so only the result grows with the square of how many share a name."""
-    names = F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " ")))
-    parts = table(spark, sf_dir, "part").filter("p_name is not null").select("p_partkey", names.alias("w"))
-    sets = parts.select("w").distinct()
-    pairs = curation.similar_sets(sets, "w", 50).select("a", "b", "jaccard")
+    """All parts whose names share half of their words, however common the words; a part in several rows has the words of all. Pairs are looked
+    for between distinct sets of words; the parts of a set are put in at the end, so only the result grows with the square of how many share a name."""
+    words = F.flatten(F.collect_list(F.split(F.lower("p_name"), " ")))
+    parts = table(spark, sf_dir, "part").filter("p_name is not null and p_partkey is not null").groupBy("p_partkey").agg(F.array_sort(F.array_distinct(words)).alias("w"))
+    sets = lineage.cut(parts.groupBy("w").agg(F.count("*").alias("n")))
+    pairs = curation.similar_sets(sets, "w", 50).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
     same = sets.select(F.col("w").alias("a"), F.col("w").alias("b"), F.lit(1.0).alias("jaccard"))
-    side = lambda c, key: parts.select(F.col("w").alias(c), F.col("p_partkey").alias(key))
-    both = pairs.unionAll(same).join(side("a", "p"), "a").join(side("b", "q"), "b").filter((F.col("a") != F.col("b")) | (F.col("p") < F.col("q")))
-    return both.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), F.round("jaccard", 6).alias("jaccard"))
+    return curation.member_pairs(pairs.unionAll(same), sets, parts, "w", "p_partkey")
 
 
 @query("SELECT c.c_custkey, n.n_name AS entity, 'exact' AS method FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey")

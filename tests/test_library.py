@@ -89,6 +89,17 @@ def test_common_words_pair_parts(spark, tmp_path):
     assert sorted(map(tuple, registry.QUERIES["token_jaccard_pairs"](spark, str(tmp_path)).collect())) == want
 
 
+def test_a_name_of_many_parts_is_paired_in_several_tasks(spark, tmp_path):
+    rows = [(k, "red box") for k in range(700)] + [(k, "box tin red") for k in range(700, 1000)] + [(1000, "red"), (1000, "tin"), (None, "red tin")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = registry.QUERIES["token_jaccard_pairs"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(tuple(r)[:3] for r in got) == sorted(c.sql(registry.ORACLES["token_jaccard_pairs"]).fetchall())
+    made = [sum(r["task"] == t for r in got if r["y"] < 700) for t in {r["task"] for r in got}]
+    assert sum(n > 0 for n in made) > 1 and max(made) < 0.9 * sum(made)
+
+
 def test_facts_without_a_whole_term_are_not_found(spark, tmp_path):
     docs = [(10, "southern thingently"), (21, "outh thingent"), (32, "southern thingent"), (43, "nothing"), (54, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
