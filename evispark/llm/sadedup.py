@@ -15,6 +15,8 @@ from .common import Powers, batch, cut, mix, prefix_hashes, schema, slices, text
 
 #: Text of one block, and of anchors' text that one sorting task gets on average.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 3 << 20
+#: Strings of a common anchor that a block deals out in one go.
+STRINGS = 1 << 16
 _LOW = np.uint64((1 << 40) - 1)
 _POS = np.uint64((1 << 28) - 1)
 #: A longer text gives its anchors window by window, as places in a window have 28 bits.
@@ -113,7 +115,7 @@ def equal_prefixes(order: np.ndarray, words: np.ndarray, depth: int) -> np.ndarr
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, powers: Powers):
-    """(hash, document, first start, starts): each `length`-byte string inside a document belongs to the anchor gram it holds
+    """(hash, document, first start, starts, hash of the text around): each `length`-byte string inside a document belongs to the anchor gram it holds
     with the smallest hash (the leftmost of equals); strings that share an anchor and follow each other are one row.
 
     Equal strings have equal anchors, so each pair of equal strings meets under one hash.
@@ -122,7 +124,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, powers: Powers):
     width, n = length - gram + 1, len(data)
     none = np.empty(0, np.int64)
     if n < length:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     h, down = prefix_hashes(data, powers)
     g = mix((h[gram:] - h[:-gram]) * down[: n - gram + 1])
     key = (g & ~_POS) | np.arange(len(g), dtype=np.uint64)
@@ -137,7 +139,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, powers: Powers):
     first[1:] &= ~inside[:-1] | (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(first)
     count = np.diff(np.concatenate([np.cumsum(inside) - inside, [inside.sum()]])[np.concatenate([at, [n - length + 1]])])
-    return mix(g[place[at]] + np.uint64(1)), doc[at], at, count
+    around = (h[at + count + length - 1] - h[at]) * down[at]
+    return mix(g[place[at]] + np.uint64(1)), doc[at], at, count, around
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -222,16 +225,16 @@ class _Block:
             if end - base > LONGEST:  # one text; each of its strings starts in one window
                 for i in range(base, end - length + 1, LONGEST) if self.known[at] else ():
                     part = self.data[i : min(end, i + LONGEST + length - 1)]
-                    h, doc, start, count = anchors(part, np.array([0, len(part)]), length, powers)
-                    yield h, doc + at, start + i, count
+                    h, doc, start, count, around = anchors(part, np.array([0, len(part)]), length, powers)
+                    yield h, doc + at, start + i, count, around
                 continue
-            h, doc, start, count = anchors(self.data[base : self.offsets[to]], self.offsets[at : to + 1] - base, length, powers)
+            h, doc, start, count, around = anchors(self.data[base : self.offsets[to]], self.offsets[at : to + 1] - base, length, powers)
             keep = self.known[doc + at]
-            yield h[keep], doc[keep] + at, start[keep] + base, count[keep]
+            yield h[keep], doc[keep] + at, start[keep] + base, count[keep], around[keep]
 
     def all_anchors(self, length: int, powers: Powers):
         parts = list(self.anchors(length, powers))
-        return [np.concatenate([p[i] for p in parts]) for i in range(4)] if parts else [np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3]
+        return [np.concatenate([p[i] for p in parts]) for i in range(5)] if parts else [np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3, np.empty(0, np.uint64)]
 
 
 def _split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -240,15 +243,16 @@ def _split(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(bucket[i]), int(i), int(j)) for i, j in zip(edges[:-1], edges[1:])]
 
 
-def _fingerprints(length: int, buckets: int):
-    """By block and bucket: the anchors' hashes, 40 bits each, and which of them two documents of the block have."""
+def _fingerprints(length: int, buckets: int, few: int):
+    """By block and bucket: the anchors' hashes, 40 bits each, which of them two documents of the block have, and how many distinct texts
+    and strings lie around those with more than `few` such texts."""
 
     def run(batches):
         powers = Powers()
         for b in batches:
             for row in b.to_pylist():
                 block = _Block(row)
-                h, doc, _, _ = block.all_anchors(length, powers)
+                h, doc, _, count, around = block.all_anchors(length, powers)
                 bucket, rest = (h % np.uint64(buckets)).astype(np.int64), h // np.uint64(buckets) & _LOW
                 order = np.lexsort((block.ids[doc], rest, bucket))
                 bucket, rest, who = bucket[order], rest[order], block.ids[doc][order]
@@ -257,9 +261,17 @@ def _fingerprints(length: int, buckets: int):
                 at = np.flatnonzero(first)
                 last = np.concatenate([at[1:], [len(rest)]]) - 1 if len(at) else at
                 many = who[at] != who[last] if len(at) else np.empty(0, bool)
+                occurs = last - at + 1
+                some = np.flatnonzero(np.repeat(occurs > few, occurs))
+                anchor = np.repeat(np.arange(len(at)), occurs)[some]
+                once = np.unique(mix(around[order[some]] + anchor.astype(np.uint64) * _LOW), return_index=True)[1]
+                texts = np.bincount(anchor[once], minlength=len(at))
+                strings = np.bincount(anchor[once], count[order[some[once]]], len(at)).astype(np.int64)
                 rest, found = rest[at], _split(bucket[at])
                 small = [rest[i:j].view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, i, j in found]
-                yield batch({"bucket": np.array([x[0] for x in found], np.int64), "block": np.full(len(found), row["block"], np.int64), "hashes": pa.array(small, pa.binary()), "many": pa.array([np.packbits(many[i:j]).tobytes() for _, i, j in found], pa.binary())})
+                heavy = [(i, i + np.flatnonzero(texts[i:j] > few)) for _, i, j in found]
+                common = [_pack(at=(x - i).astype(np.uint32), texts=texts[x].astype(np.uint32), strings=strings[x].astype(np.uint32)) if len(x) else None for i, x in heavy]
+                yield batch({"bucket": np.array([x[0] for x in found], np.int64), "block": np.full(len(found), row["block"], np.int64), "hashes": pa.array(small, pa.binary()), "many": pa.array([np.packbits(many[i:j]).tobytes() for _, i, j in found], pa.binary()), "common": pa.array(common, pa.binary())})
 
     return run
 
@@ -270,23 +282,37 @@ def _hashes(blob: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _shared(key, table):
-    """Of one bucket: for each block its hashes that another block, or another of its documents, has."""
-    rows = table.select(["block", "hashes", "many"]).to_pylist()
-    parts = [_hashes(r["hashes"]) for r in rows]
-    values, count = np.unique(np.concatenate(parts), return_counts=True)
-    out = []
-    for r, p in zip(rows, parts):
-        many = np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(p)).astype(bool)
-        values_many = p[many]
-        count[np.searchsorted(values, values_many)] = 2
-    twice = values[count > 1]
-    for r, p in zip(rows, parts):
-        hit = p[np.isin(p, twice, assume_unique=True)]
-        if len(hit):
-            out.append((r["block"], hit.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
-    b = key[0].as_py()
-    return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([b] * len(out), pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary())})
+def _shared(length: int, hot_bytes: int, bucket_bytes: int):
+    """Of one bucket: for each block its hashes that another block, or another of its documents, has; and the hashes around which
+    all blocks together have more than `hot_bytes` of distinct text, with the number of parts that their strings are dealt to."""
+
+    def run(key, table):
+        rows = table.select(["block", "hashes", "many", "common"]).to_pylist()
+        parts = [_hashes(r["hashes"]) for r in rows]
+        values, count = np.unique(np.concatenate(parts), return_counts=True)
+        out = []
+        for r, p in zip(rows, parts):
+            many = np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(p)).astype(bool)
+            values_many = p[many]
+            count[np.searchsorted(values, values_many)] = 2
+        twice = values[count > 1]
+        hot, dealt = None, 0
+        common = [(p[at], *sizes) for r, p in zip(rows, parts) if r["common"] for at, *sizes in [_unpack(r["common"])]]
+        if common:
+            rest, texts, strings = (np.concatenate(x) for x in zip(*common))
+            rest, which = np.unique(rest, return_inverse=True)
+            texts, strings = (np.bincount(which, x).astype(np.int64) for x in (texts, strings))
+            large = strings + texts * (length - 1) > hot_bytes
+            if large.any():
+                hot, dealt = _pack(rest=rest[large]), -(-int(strings[large].sum()) * length // bucket_bytes)
+        for r, p in zip(rows, parts):
+            hit = p[np.isin(p, twice, assume_unique=True)]
+            if len(hit):
+                out.append((r["block"], hit.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()))
+        b = key[0].as_py()
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([b] * len(out), pa.int64()), "hashes": pa.array([x[1] for x in out], pa.binary()), "hot": pa.array([hot] * len(out), pa.binary()), "parts": pa.array([dealt] * len(out), pa.int64())})
+
+    return run
 
 
 def _joined(begin: np.ndarray, end: np.ndarray) -> bytes:
@@ -298,34 +324,83 @@ def _joined(begin: np.ndarray, end: np.ndarray) -> bytes:
     return _pack(begin=begin.astype(np.uint32), size=(end - begin).astype(np.uint32))
 
 
+def _distinct(text: bytes, size: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different ones of texts of these sizes that stand one after another, and which of them each is."""
+    seen: dict[bytes, int] = {}
+    ends = np.cumsum(size.astype(np.int64)).tolist()
+    which = np.array([seen.setdefault(text[e - s : e], len(seen)) for s, e in zip(size.tolist(), ends)], np.int64)
+    return list(seen), which
+
+
+def _asking(which: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Whether a place is one of the smallest id that has its text."""
+    least = np.full(int(which.max(initial=-1)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, who)
+    return who == least[which]
+
+
 def _contexts(length: int, buckets: int):
     """Of one block: the text around each shared anchor, by bucket; equal texts of the block once, with the places in the document
-    of the smallest id. The other places of the text are decided here: their runs go on under a number below 0 of their own."""
+    of the smallest id. The other places of the text are decided here: their runs go on under a number below 0 of their own.
+
+    The text around a hot anchor goes string by string to the parts of its bucket, a string's hash says which: equal strings meet
+    as before, and no task gets all that stands around an anchor.
+    """
+
+    def packed(texts, which, ids, start):
+        return _pack(text=np.frombuffer(b"".join(texts), np.uint8), size=np.array([len(x) for x in texts], np.uint32), which=which.astype(np.uint32), ids=ids, start=start.astype(np.uint32))
+
+    def strings(block, bucket, parts, ids, start, count, powers):
+        """(bucket, packed) of the parts; (begin, end) of the places that are decided here."""
+        up, windows = powers.to(length)[0], np.lib.stride_tricks.sliding_window_view(block.data, length)
+        ends = np.cumsum(count)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, STRINGS):
+            n = np.arange(at, min(at + STRINGS, int(ends[-1])))
+            run = np.searchsorted(ends, n, "right")
+            place, who = start[run] + n - (ends - count)[run], ids[run]
+            texts, which = _distinct(windows[place].tobytes(), np.full(len(place), length))
+            hashes = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, length).astype(np.uint64) + np.uint64(1)
+            part = (mix((hashes * up).sum(1)) % np.uint64(parts)).astype(np.int64)
+            ask = np.flatnonzero(_asking(which, who))
+            rows = []
+            ask = ask[np.argsort(part[which[ask]], kind="stable")]
+            for p, i, j in _split(part[which[ask]]):
+                own, code = np.unique(which[ask[i:j]], return_inverse=True)
+                rows.append((bucket + buckets * (1 + p), packed([texts[k] for k in own.tolist()], code, who[ask[i:j]], place[ask[i:j]])))
+            rest = np.delete(place, ask)
+            yield rows, rest, rest + length
 
     def run(key, blocks, shared):
         found, begin, end = [], [], []
         if shared.num_rows:
             block, powers = _Block(blocks.to_pylist()[0]), Powers()
-            h, doc, start, count = block.all_anchors(length, powers)
+            h, doc, start, count, _ = block.all_anchors(length, powers)
             bucket, rest = (h % np.uint64(buckets)).astype(np.int64), h // np.uint64(buckets) & _LOW
             order = np.lexsort((rest, bucket))
             runs = {b: (i, j) for b, i, j in _split(bucket[order])}
-            for r in shared.select(["bucket", "hashes"]).to_pylist():
+            for r in shared.select(["bucket", "hashes", "hot", "parts"]).to_pylist():
                 i, j = runs[r["bucket"]]
                 own = order[i:j]
                 own = own[np.isin(rest[own], _hashes(r["hashes"]))]
                 size = count[own] + length - 1
-                text = _gather(block.data, start[own], size).tobytes()
-                ends = np.cumsum(size).tolist()
-                seen: dict[bytes, int] = {}
-                which = np.array([seen.setdefault(text[e - s : e], len(seen)) for s, e in zip(size.tolist(), ends)], np.int64)
-                texts, who = list(seen), block.ids[doc[own]]
-                least = np.full(len(texts), np.iinfo(np.int64).max)
-                np.minimum.at(least, which, who)
-                ask = who == least[which]
+                texts, which = _distinct(_gather(block.data, start[own], size).tobytes(), size)
+                who = block.ids[doc[own]]
+                ask = _asking(which, who)
                 begin.append(start[own][~ask])
                 end.append(begin[-1] + size[~ask])
-                found.append((r["bucket"], _pack(text=np.frombuffer(b"".join(texts), np.uint8), size=np.array([len(x) for x in texts], np.uint32), which=which[ask].astype(np.uint32), ids=who[ask], start=start[own][ask].astype(np.uint32))))
+                if r["hot"]:
+                    hot = np.isin(rest[own], _unpack(r["hot"])[0])
+                    for rows, *decided in strings(block, r["bucket"], r["parts"], who[ask & hot], start[own][ask & hot], count[own][ask & hot], powers):
+                        found += rows
+                        begin.append(decided[0])
+                        end.append(decided[1])
+                    ask &= ~hot
+                    left, code = np.unique(which[ask], return_inverse=True)
+                    texts = [texts[k] for k in left.tolist()]
+                else:
+                    code = which[ask]
+                if len(code):
+                    found.append((r["bucket"], packed(texts, code, who[ask], start[own][ask])))
             begin, end = np.concatenate(begin), np.concatenate(end)
             if len(begin):
                 found.append((-1 - key[0].as_py(), _joined(begin, end)))
@@ -442,7 +517,8 @@ def remove_repeats(df: DataFrame, length: int = 50, with_text: bool = False, doc
        prefix of `length` bytes form a group, whose smallest id tells which rows lose these bytes.
     4. Blocks join the runs of bytes to remove.
     The number of buckets follows the text's bytes, so what a task holds does not; an anchor that a third of all rows has meets as one
-    distinct text per block, with one id.
+    distinct text per block, with one id. Where an anchor's distinct texts are more than a quarter of `bucket_bytes`, its strings are
+    dealt to as many parts of the bucket as they need, and each part sorts its own.
 
     A null or empty text has nothing removed (the sha256 of no bytes). Strings repeated only in one row, or in rows of the same
     id, stay. A row whose id is null keeps all and takes no part. An empty table gives an empty result; columns named by
@@ -453,10 +529,12 @@ def remove_repeats(df: DataFrame, length: int = 50, with_text: bool = False, doc
     carry = [c for c in carry if c not in ("doc_id", "text", "block", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")]
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`") for c in carry])
     blocks = cut(rows.mapInArrow(_blocks(block_bytes, carry), schema(BLOCK)))
-    zipped = blocks.agg(F.sum(F.octet_length("texts"))).first()[0] or 0
+    zipped, n_blocks = blocks.agg(F.sum(F.octet_length("texts")), F.count("*")).first()
+    zipped, hot_bytes = zipped or 0, bucket_bytes // 4
+    few = max(1, hot_bytes // (2 * length * max(1, n_blocks)))  # what blocks don't tell of an anchor is hot_bytes together, or one text a block
     buckets = max(64, int(3 * zipped // bucket_bytes) + 1)
-    prints = blocks.mapInArrow(_fingerprints(length, buckets), schema("bucket long, block long, hashes binary, many binary"))
-    shared = prints.groupBy("bucket").applyInArrow(_shared, schema("block long, bucket long, hashes binary"))
+    prints = blocks.mapInArrow(_fingerprints(length, buckets, few), schema("bucket long, block long, hashes binary, many binary, common binary"))
+    shared = prints.groupBy("bucket").applyInArrow(_shared(length, hot_bytes, bucket_bytes), schema("block long, bucket long, hashes binary, hot binary, parts long"))
     contexts = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_contexts(length, buckets), schema("bucket long, block long, packed binary"))
     runs = contexts.groupBy("bucket").applyInArrow(_repeats(length), schema("block long, packed binary"))
     out = schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -247,6 +247,46 @@ def test_repeats_in_texts_longer_than_a_window(docs, monkeypatch):
     assert sadedup.remove_repeats(clash, 50, carry=("n_bytes", "block", "lang")).columns[-1] == "lang"
 
 
+def test_a_passage_in_all_rows_meets_in_many_tasks(spark, monkeypatch):
+    """No sorting task gets all that stands around a passage, and the result is brute force's."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, most = say(70), 60_000
+    data = [(i, f"{say(60)}{passage[rng.randint(0, 9) :]}{say(60)}") for i in range(900)]
+    data += [(i + 900, data[i][1]) for i in range(0, 900, 9)] + [(5, say(40) + passage)]
+    seen, want = {}, {}
+    for d, t in data:
+        for i in range(len(t) - 49):
+            seen[t[i : i + 50]] = min(seen.get(t[i : i + 50], d), d)
+    for d, t in data:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if seen[t[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        want[d, len(t)] = (sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(t.encode(), gone) if not g)).hexdigest())
+    real = sadedup._repeats
+
+    def bounded(length):
+        sort = real(length)
+
+        def run(key, table):
+            texts = set()
+            for r in table.column("packed").to_pylist() if key[0].as_py() >= 0 else ():
+                text, size, *_ = sadedup._unpack(r)
+                ends = np.cumsum(size.astype(int)).tolist()
+                texts.update(text[e - s : e].tobytes() for s, e in zip(size.tolist(), ends))
+            assert sum(map(len, texts)) <= most, sum(map(len, texts))
+            return sort(key, table)
+
+        return run
+
+    monkeypatch.setattr(sadedup, "_repeats", bounded)
+    got = sadedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 50, block_bytes=20_000, bucket_bytes=30_000).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert tuple(r)[2:] == want[r.doc_id, r.n_bytes], r.doc_id
+
+
 def test_packing(docs, none):
     import public_tokenizers as P
     from tokenizers import Tokenizer
